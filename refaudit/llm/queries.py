@@ -11,6 +11,12 @@ from refaudit.session import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from refaudit.llm import survivors
+
+    return survivors.of_record(spark, d).select("doi", "field_name", "rec_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from refaudit.llm import tokens
 
@@ -24,7 +30,7 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids, "p7_pack": p7_pack}
+    return {"p2_found": p2_found, "p6_ids": p6_ids, "p7_pack": p7_pack}
 
 
 def oracle_sql() -> dict[str, str]:
