@@ -17,6 +17,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.of_record(spark, d).select("doi", "field_name", "rec_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from refaudit.llm import charforms
+
+    return charforms.found(read(spark, d, "cases"), read(spark, d, "search_openalex"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from refaudit.llm import mojibake
+
+    return mojibake.found(read(spark, d, "cases"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from refaudit.llm import tokens
 
@@ -30,7 +42,7 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p6_ids": p6_ids, "p7_pack": p7_pack}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_pack": p7_pack}
 
 
 def oracle_sql() -> dict[str, str]:
