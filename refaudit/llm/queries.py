@@ -41,8 +41,14 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(read(spark, d, "documents")), read(spark, d, "containers"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from refaudit.llm import languages
+
+    return languages.found(read(spark, d, "documents"), read(spark, d, "languages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_pack": p7_pack}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
