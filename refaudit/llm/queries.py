@@ -29,6 +29,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.found(read(spark, d, "cases"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from refaudit.llm import names
+
+    return names.found(read(spark, d, "cases"), read(spark, d, "search_europepmc"), read(spark, d, "match_s2"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from refaudit.llm import tokens
 
@@ -48,7 +54,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
