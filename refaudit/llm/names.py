@@ -34,7 +34,7 @@ LEAST_RATIO = 0.82
 #: Share of the comma-form names that a given name must reach: at most 20,000 words are kept.
 GIVEN_SHARE = 1 / 20_000
 #: Particles of family names, and words that begin the names of organisations.
-PARTICLES = frozenset("de da do dos del della di du la le van der den von vom zu ten ter y e af".split())
+PARTICLES = frozenset("de da do dos del della di du la le van der den von vom zu ten ter".split())
 LITTLE = frozenset("the of for on and in to de la".split())
 ORG = re.compile(r"\b(consort\w*|collab\w*|stud(?:y|ies)|investig\w*|(?:working\s+)?group|institut\w*|inst\.|univ\w*|committee|comm\.|network|society|soc\.|cent(?:er|re)|initiative|association|academy|department|dept\.)", re.I)
 #: Nicknames and the given names they stand for.
@@ -227,7 +227,9 @@ def _parsed(names: DataFrame) -> DataFrame:
                     continue
                 kind, fam, given, ini = p
                 for g in sorted({x[:1] for x in given} or {ini[:1]}) if kind == "p" else ["#"]:
-                    for c, v in zip(cols, (name, kind, fam, g, given, ini)):
+                    # a nickname of several given names has another first initial in each group
+                    own = g + ini[1:] if given and len({x[:1] for x in given}) > 1 else ini
+                    for c, v in zip(cols, (name, kind, fam, g, given, own)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()))], ["name", "kind", "fam", "g", "given", "ini"])
 
@@ -298,7 +300,8 @@ def persons(forms: list[tuple[str, tuple[str, ...], str]]) -> list[list[str]]:
         for name, given, ini in tier:
             own = [p for p in (found if k < 2 else known) if fits(p, given, ini)]
             if k < 2:
-                own = [p for p in own if p["ini"] == ini]
+                # M.C. may be a double given name without a middle initial
+                own = [p for p in own if p["ini"] == ini] or [p for p in own if not given and any("-" in x for x in p["given"]) and p["ini"].startswith(ini)]
             if len(own) == 1:
                 put(own[0], name, given, ini)
                 continue
