@@ -81,6 +81,7 @@ class Parser:
         self.given = set(given) | set(NICKNAMES)
         top = max(given.values(), default=0)
         self.formal = sorted({g for g, n in given.items() if n * 4 >= top and len(g) > 2} | {f for v in NICKNAMES.values() for f in v.split()})
+        self.given |= set(self.formal)
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def formals(self, token: str) -> tuple[str, ...]:
@@ -201,19 +202,24 @@ def names_of(cases: DataFrame, europepmc: DataFrame, s2: DataFrame) -> DataFrame
     return each.select(F.regexp_replace("name", white, "").alias("name")).where("name is not null and length(name) > 1 and name <> 'others'").distinct()
 
 
-def _parsed(names: DataFrame) -> DataFrame:
-    """(name, kind, fam, g, given, ini), one row for each possible first initial g."""
-    from refaudit.llm import charforms
-
-    after = F.split(F.regexp_replace("name", r"^[^,]*,\s*", ""), r"\s+")
-    words = names.where(F.col("name").contains(",")).select(F.explode(after).alias("w")).where(F.col("w").rlike(r"^\p{L}[\p{L}-]{2,}$"))
-    tally = words.groupBy("w").agg(F.count("*").alias("n"))
-    total = names.where(F.col("name").contains(",")).count()
+def given_names(names: DataFrame) -> dict[str, int]:
+    """The words that stand in the place of given names, with their number; at most 20,000."""
+    after = F.split(F.regexp_replace(F.trim("name"), r"^[^,]*,\s*", ""), r"\s+")
+    tally = names.where(F.col("name").contains(",")).select(F.explode(after).alias("w")).where(F.col("w").rlike(r"^\p{L}[\p{L}-]{2,}$")).groupBy("w").agg(F.count("*").alias("n"))
+    total = tally.agg(F.sum("n")).first()[0] or 0
     lexicon: dict[str, int] = {}
     for r in tally.where(F.col("n") >= max(2, total * GIVEN_SHARE)).collect():
         k = fold(r["w"])
         if k not in PARTICLES:
             lexicon[k] = lexicon.get(k, 0) + r["n"]
+    return lexicon
+
+
+def _parsed(names: DataFrame) -> DataFrame:
+    """(name, kind, fam, g, given, ini), one row for each possible first initial g."""
+    from refaudit.llm import charforms
+
+    lexicon = given_names(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(lexicon)

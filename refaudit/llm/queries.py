@@ -11,6 +11,12 @@ from refaudit.session import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from refaudit.llm import matching
+
+    return matching.found(read(spark, d, "cases"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from refaudit.llm import survivors
 
@@ -54,7 +60,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
