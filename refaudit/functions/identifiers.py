@@ -16,13 +16,22 @@ PMID_IN_TEXT = r"(?i)(?:pubmed\.ncbi\.nlm\.nih\.gov/|pubmed/|pmid[:\s]+)(\d+)"
 PMCID_SHAPE = r"(PMC\d+)"
 
 
+#: White space that is stripped from the ends of values.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def plain(c: Column | str) -> Column:
     """Text without braces and outer white space; '' for null."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"[{}]", ""))
+    return strip(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"[{}]", ""))
 
 
 def doi(c: Column | str) -> Column:
