@@ -205,7 +205,7 @@ def names_of(cases: DataFrame, europepmc: DataFrame, s2: DataFrame) -> DataFrame
 def given_names(names: DataFrame) -> dict[str, int]:
     """The words that stand in the place of given names, with their number; at most 20,000."""
     after = F.split(F.regexp_replace(F.trim("name"), r"^[^,]*,\s*", ""), r"\s+")
-    tally = names.where(F.col("name").contains(",")).select(F.explode(after).alias("w")).where(F.col("w").rlike(r"^\p{L}[\p{L}-]{2,}$")).groupBy("w").agg(F.count("*").alias("n"))
+    tally = materialize(names.where(F.col("name").contains(",")).select(F.explode(after).alias("w")).where(F.col("w").rlike(r"^\p{L}[\p{L}-]{2,}$")).groupBy("w").agg(F.count("*").alias("n")))
     total = tally.agg(F.sum("n")).first()[0] or 0
     lexicon: dict[str, int] = {}
     for r in tally.where(F.col("n") >= max(2, total * GIVEN_SHARE)).collect():
@@ -372,7 +372,7 @@ def entities(names: DataFrame) -> DataFrame:
 
 def found(cases: DataFrame, europepmc: DataFrame, s2: DataFrame) -> DataFrame:
     """(name_a, name_b): the pairs of different names that mean the same."""
-    linked = entities(names_of(cases, europepmc, s2))
+    linked = entities(materialize(names_of(cases, europepmc, s2)))
     sets = linked.groupBy("entity").agg(F.sort_array(F.collect_set("name")).alias("m")).where(F.size("m") > 1)
     pairs = sets.select("m", F.posexplode("m").alias("i", "name_a")).select("name_a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("name_b"))
     return pairs.distinct()
