@@ -70,7 +70,7 @@ def families(authors: Column, norm=text.normalize) -> Column:
     The separators are spaced words and semicolons; each family is normalized after the split, in
     one pass over a joined text.
     """
-    parts = F.filter(F.split(F.trim(F.coalesce(authors, F.lit(""))), r"(?i)\s+and\s+|\s*;\s*"), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(F.coalesce(authors, F.lit("")), r"(?i)\s+and\s+|\s*;\s*"), lambda p: F.trim(p) != "")
     family = F.transform(parts, lambda p: F.when(p.contains(","), F.split(p, ",")[0]).otherwise(F.regexp_extract(F.rtrim(p), r"(\S+)$", 1)))
     joined = F.array_join(F.transform(family, lambda f: F.replace(f, F.lit("\u0001"), F.lit(" "))), "_\u0001_")
     # the separator survives normalization as an underscore pair with a blank between

@@ -90,7 +90,7 @@ def _jaccard(a: str, b: str) -> str:
 
 
 def _families(x: str) -> str:
-    parts = f"list_filter(regexp_split_to_array(trim(coalesce({x}, '')), '(?i)\\s+and\\s+|\\s*;\\s*'), lambda p: trim(p) <> '')"
+    parts = f"list_filter(regexp_split_to_array(coalesce({x}, ''), '(?i)\\s+and\\s+|\\s*;\\s*'), lambda p: trim(p) <> '')"
     fam = f"list_transform({parts}, lambda p: CASE WHEN contains(p, ',') THEN string_split(p, ',')[1] ELSE regexp_extract(rtrim(p), '(\\S+)$', 1) END)"
     return f"list_distinct(list_filter(list_transform({fam}, lambda f: {normalize('f')}), lambda f: f <> ''))"
 
