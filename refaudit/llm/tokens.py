@@ -29,6 +29,8 @@ TOKENIZER_DIR = os.environ.get("REFAUDIT_TOKENIZER_DIR", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A task forgets its words when they hold this many tokens; they are then encoded anew.
 CACHE_TOKENS = 4_000_000
+#: Characters that are encoded at once.
+PIECE = 4_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -176,6 +178,19 @@ class CorpusEncoder:
         return total[edges[1:]] - total[edges[:-1]], pool[out]
 
 
+def pieces(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of a batch that hold about ``most`` characters each, so that a batch of long texts
+    needs no more memory than one of short texts; a longer single text is a slice of its own."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:
     """(id, ids): the token ids of each text, one row per input row, without special tokens.
 
@@ -186,9 +201,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CorpusEncoder(folder, name)
         for b in batches:
-            counts, flat = encoder.batch(b.column(1).to_pylist())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["id", "ids"])
+            texts = b.column(1).to_pylist()
+            for i, j in pieces(texts, PIECE):
+                counts, flat = encoder.batch(texts[i:j])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["id", "ids"])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -200,8 +217,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CorpusEncoder(folder, name)
         for b in batches:
-            counts, _ = encoder.batch(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["id", "n_tokens"])
+            texts = b.column(1).to_pylist()
+            for i, j in pieces(texts, PIECE):
+                counts, _ = encoder.batch(texts[i:j])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(counts, pa.int64())], ["id", "n_tokens"])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens bigint").withColumnRenamed("id", id_col)
 
