@@ -1,0 +1,79 @@
+"""Settings of a run from JSON files, overrides and the environment, checked once."""
+
+from __future__ import annotations
+
+import json
+import os
+from collections.abc import Mapping
+from pathlib import Path
+from typing import Any
+
+from refaudit.operators import merge, ranking, scoring
+from refaudit.plans.engine import Settings
+from refaudit.session import atomic_write
+
+#: Variables of the environment that override a setting.
+ENVIRONMENT = {"CROSSREF_EMAIL": ("contact", "email"), "SEMANTIC_SCHOLAR_API_KEY": ("keys", "semantic_scholar"), "PUBMED_API_KEY": ("keys", "pubmed"), "CORE_API_KEY": ("keys", "core")}
+FORMS = ("txt", "json", "jsonl", "csv")
+
+
+def defaults() -> dict[str, Any]:
+    return {
+        "sources": {n: {"enabled": on, "priority": p} for n, p, on in ranking.SOURCES},
+        "matching": {"matched": scoring.MATCHED, "ambiguous": scoring.AMBIGUOUS, "margin": scoring.MARGIN, "auto_update": merge.THRESHOLD, "stop_on_match": True},
+        "cache": {"ttl_hours": 168, "max_body_bytes": 10 * 1024 * 1024},
+        "output": {"form": "txt", "report": True, "backup": True, "updated": True, "review": True},
+        "encoding": "auto",
+    }
+
+
+def overlay(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
+    """``over`` laid on ``base``; mappings are joined level by level, other values replaced."""
+    out = dict(base)
+    for k, v in over.items():
+        out[k] = overlay(out[k], v) if isinstance(v, Mapping) and isinstance(out.get(k), Mapping) else v
+    return out
+
+
+def load(path: str | None = None, overrides: Mapping[str, Any] | None = None, env: Mapping[str, str] = os.environ) -> dict[str, Any]:
+    """Defaults, then the file (UTF-8, a BOM allowed), the environment and the overrides.
+
+    Relative paths under ``paths`` count from the folder of the file.
+    """
+    settings = defaults()
+    if path:
+        given = json.loads(Path(path).read_text("utf-8-sig"))
+        if not isinstance(given, dict):
+            raise ValueError("the settings must be a JSON object")
+        settings = overlay(settings, given)
+        at = Path(path).resolve().parent
+        settings["paths"] = {k: str(p if (p := Path(v)).is_absolute() else at / p) for k, v in settings.get("paths", {}).items()}
+    for name, (group, key) in ENVIRONMENT.items():
+        if env.get(name):
+            settings = overlay(settings, {group: {key: env[name]}})
+    settings = overlay(settings, overrides or {})
+    check(settings)
+    return settings
+
+
+def check(settings: Mapping[str, Any]) -> None:
+    to_settings(settings)
+    if settings["output"]["form"] not in FORMS:
+        raise ValueError(f"form must be one of {', '.join(FORMS)}")
+    if settings["cache"]["ttl_hours"] < 0 or settings["cache"]["max_body_bytes"] <= 0:
+        raise ValueError("cache limits must not be negative")
+    for name, s in settings["sources"].items():
+        if not isinstance(s.get("enabled", False), bool) or not isinstance(s.get("priority", 999), int):
+            raise ValueError(f"source {name}: enabled must be true or false, priority a whole number")
+
+
+def to_settings(settings: Mapping[str, Any]) -> Settings:
+    rows = [(n, s.get("priority", 999), bool(s.get("enabled", False))) for n, s in settings["sources"].items()]
+    return Settings(**settings["matching"], sources=rows)
+
+
+def write_starter(path: str, force: bool = False) -> None:
+    """The defaults as a file to start from; an existing file is kept unless forced."""
+    if Path(path).exists() and not force:
+        raise FileExistsError(path)
+    atomic_write(path, json.dumps(defaults(), indent=2, ensure_ascii=False) + "\n")

@@ -63,6 +63,29 @@ def text_lines(results: DataFrame) -> DataFrame:
     return results.where(F.col("status") != "verified").select("pos", F.concat_ws("", F.lit("["), F.coalesce("status", F.lit("unknown")), F.lit("] "), F.col("key"), F.lit(" (confidence "), conf, F.lit("): "), F.col("reason")).alias("value"))
 
 
+def summary(results: DataFrame) -> DataFrame:
+    """One row: counts of the buckets, and whether every entry was fully looked up.
+
+    A run with errors or invalid input is never complete.
+    """
+    counts = [F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS]
+    whole = F.coalesce(F.bool_and(F.coalesce("complete", F.lit(False))), F.lit(True)) & (F.count_if(F.col("bucket").isin("errors", "invalid_input")) == 0)
+    return results.agg(F.struct(*counts, F.count("*").alias("total")).alias("counts"), whole.alias("complete"), F.lit("1.0").alias("schema_version"))
+
+
+def payload(results: DataFrame) -> DataFrame:
+    """(part, value): the JSON report as lines that together are one document: the summary, then
+    an array of entries. No row holds more than one entry, whatever the size of the run."""
+    head = summary(results).select(F.lit(0).alias("part"), F.to_json(F.struct("*")).alias("value"))
+    body = results.select(F.lit(1).alias("part"), F.to_json(F.struct(*[c for c in results.columns])).alias("value"))
+    return head.unionByName(body)
+
+
+def review(results: DataFrame) -> DataFrame:
+    """The entries of the buckets that need a look, with their order."""
+    return ordered(results.where(F.col("bucket").isin(*REVIEW)), "pos")
+
+
 def merge_maps(base: Column, over: Column) -> Column:
     """One map over another; the second wins."""
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k)), over)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from refaudit.functions import identifiers as ids
 from refaudit.functions import text
 from refaudit.operators import lookup, merge, ranking, report, scoring
-from refaudit.session import materialize
+from refaudit.session import atomic_write, materialize
 from refaudit.sources import adapters, bibtex
 
 FIELDS = ("title", "author", "journal", "booktitle", "year", "volume", "number", "pages", "publisher", "doi", "pmid", "pmcid", "eprint", "url", "note", "archiveprefix", "keywords")
@@ -101,6 +101,47 @@ class Engine:
         )
         return joined.select("pos", "key", bucket.alias("bucket"), "status", F.coalesce("complete", F.lit(False)).alias("complete"), F.round("score", 4).alias("confidence"), F.col("source").alias("platform"), "changes", "n_applied", "n_meaningful", "providers")
 
+    def updated(self, entries: DataFrame, results: DataFrame) -> DataFrame:
+        """(pos, bibtex): every entry in its order, with the applied changes where there are any;
+        fields that no source knows stay as they are."""
+        j = entries.join(results.select("pos", "changes"), "pos", "left")
+        changed = {f: F.coalesce(F.col("changes")[f], F.col(f)) for f in FIELDS}
+        kind = F.coalesce(F.col("changes")["ENTRYTYPE"], F.col("entrytype"))
+        return j.select("pos", bibtex.serialize(F.coalesce("key", F.lit("")), kind, changed, F.col("extra")).alias("bibtex"))
+
+    def review(self, entries: DataFrame, results: DataFrame) -> DataFrame:
+        """(bucket_ord, pos, bibtex) of the entries that need a look, as they were given."""
+        wanted = report.review(results.select("pos", "bucket")).select("pos", "bucket_ord")
+        text_of = bibtex.serialize(F.coalesce("key", F.lit("")), F.col("entrytype"), {f: F.col(f) for f in FIELDS}, F.col("extra"))
+        return entries.join(wanted, "pos").select("bucket_ord", "pos", text_of.alias("bibtex"))
+
+    def apply(self, path: str, entries: DataFrame, results: DataFrame, backup: bool = True) -> bool:
+        """Rewrite one reference list in place if a change applies; the old bytes are kept first.
+
+        One file on the driver's disk by nature; whole tables are written with
+        ``bibtex.write_text``. The encoding is the one that the file was read with, without adding
+        a mark that it did not have.
+        """
+        if results.where(F.coalesce("n_applied", F.lit(0)) > 0).limit(1).count() == 0:
+            return False
+        with open(path, "rb") as f:
+            raw = f.read()
+        _, encoding = bibtex.decode(raw)
+        if encoding == "utf-8-sig" and not raw.startswith(b"\xef\xbb\xbf"):
+            encoding = "utf-8"
+        if backup:
+            with open(f"{path}.bak", "wb") as f:
+                f.write(raw)
+        rows = self.updated(entries, results).orderBy("pos").toLocalIterator()
+        newline = "\r\n" if raw.count(b"\r\n") * 2 > raw.count(b"\n") else "\n"
+        atomic_write(path, "\n".join(r["bibtex"] for r in rows), encoding or "utf-8", newline)
+        return True
+
+    def labelled_pairs(self, path: str) -> DataFrame:
+        """Labelled pairs of a JSON array: id, expected, original, candidate."""
+        side = "struct<title: string, author: string, year: string, doi: string>"
+        return self.spark.read.schema(f"id string, expected string, original {side}, candidate {side}").json(path, multiLine=True)
+
     def doi_to_bibtex(self, doi: str, crossref: DataFrame) -> DataFrame:
         """(bibtex) of the records with a DOI."""
         hit = crossref.where(ids.doi("doi") == doi.lower())

@@ -32,3 +32,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def atomic_write(path: str, text: str, encoding: str = "utf-8", newline: str = "\n") -> None:
+    """Write a single file through a synced temporary one beside it, then rename."""
+    target = os.path.abspath(path)
+    body = text.replace("\r\n", "\n").replace("\n", newline).encode(encoding)
+    handle, temporary = tempfile.mkstemp(prefix=".part-", dir=os.path.dirname(target))
+    try:
+        with os.fdopen(handle, "wb") as f:
+            f.write(body)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(temporary, target)
+    except BaseException:
+        if os.path.exists(temporary):
+            os.unlink(temporary)
+        raise

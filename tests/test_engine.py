@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from refaudit import config
+from refaudit.operators import report, scoring
 from refaudit.plans.engine import FIELDS, Engine, Settings
 from refaudit.session import read
 from refaudit.streaming import verify as streaming
@@ -82,3 +84,44 @@ def test_all_queries_run_on_the_small_tables(spark):
         df = queries.queries()[name](spark, D)
         assert df.count() > 0 and len(df.columns) == len(set(df.columns))
     assert read(spark, D, "cases").where(F.col("case_id").isNotNull()).count() > 0
+
+
+def test_apply_keeps_custom_fields_and_bytes(spark, tmp_path):
+    path = tmp_path / "refs.bib"
+    path.write_bytes(BIB.replace("\n", "\r\n").encode())
+    before = path.read_bytes()
+    engine = Engine(spark)
+    entries = engine.entries(str(path)).cache()
+    entries.count()
+    results = engine.verify(entries, {"crossref": records(spark)}).cache()
+    assert engine.apply(str(path), entries, results)
+    assert (tmp_path / "refs.bib.bak").read_bytes() == before
+    after = path.read_bytes()
+    assert b"x_custom = {keep}" in after and b"year = {2026}" in after and not after.startswith(b"\xef\xbb\xbf") and after.count(b"\r\n") == after.count(b"\n")
+    review = engine.review(entries, results).orderBy("bucket_ord", "pos").collect()
+    assert [r["bibtex"].split("{")[1].split(",")[0] for r in review] == ["d", "b", "e", "e"]
+    s = report.summary(results).first()
+    assert s["counts"]["total"] == 6 and s["counts"]["invalid_input"] == 2 and s["complete"] is False
+    assert report.payload(results).count() == 7
+
+
+def test_labelled_pairs(spark, tmp_path):
+    (tmp_path / "pairs.json").write_text('[{"id": "a", "expected": "matched", "original": {"title": "T", "year": "2000"}, "candidate": {"title": "T", "year": "2000"}}]')
+    pairs = Engine(spark).labelled_pairs(str(tmp_path / "pairs.json"))
+    assert scoring.assess(pairs).first()["status"] == "matched"
+
+
+def test_config(tmp_path):
+    import json
+
+    import pytest
+
+    (tmp_path / "c.json").write_bytes(b"\xef\xbb\xbf" + json.dumps({"matching": {"matched": 0.9}, "paths": {"cache": "c"}}).encode())
+    c = config.load(str(tmp_path / "c.json"), {"output": {"form": "csv"}}, {"CORE_API_KEY": "k"})
+    assert c["matching"]["matched"] == 0.9 and c["matching"]["ambiguous"] == 0.68 and c["output"]["form"] == "csv" and c["keys"]["core"] == "k" and c["paths"]["cache"] == str(tmp_path / "c")
+    for bad in ({"output": {"form": "pdf"}}, {"matching": {"ambiguous": 0.95}}, {"sources": {"crossref": {"enabled": "yes"}}}, {"cache": {"ttl_hours": -1}}):
+        with pytest.raises(ValueError):
+            config.load(None, bad, {})
+    config.write_starter(str(tmp_path / "s.json"))
+    with pytest.raises(FileExistsError):
+        config.write_starter(str(tmp_path / "s.json"))
