@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens that occur in more than this share of a source's titles don't block.
-COMMON_SHARE = 0.02
+#: A word in more titles than this does not find candidates; a title of such words only is looked
+#: up as a whole.
+COMMON = 1_000
+#: Words of an entry that find candidates, the rarest first.
+RARE_WORDS = 3
 LIMIT = 5
 
 
@@ -28,23 +31,25 @@ def exact(entries: DataFrame, index: DataFrame, entry_id: str, chosen: Column) -
 
 
 def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: str, left: Column, right: Column, limit: int = LIMIT) -> DataFrame:
-    """(entry, record id, shared, rank): the ``limit`` records that share most title words.
+    """(entry, record id, shared, rank): the ``limit`` records closest to each entry's title by
+    the share of common words, among those that have one of its ``RARE_WORDS`` rarest words.
 
-    Words are weighed alike; those in more than ``COMMON_SHARE`` of the records (and in over a
-    hundred of them) don't block, but count. An entry whose words are all common is looked up by
-    its whole title.
+    An entry that has only common words gets the records of the same title, the smallest ids
+    first. So the work for an entry is bounded, and a title that a third of all records bear costs
+    no more than any other: the limit is applied before its rows are shuffled.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     e = entries.select(F.col(entry_id), left.alias("_title"), words(left).alias("_w"))
     r = records.select(F.col(record_id), right.alias("_rtitle"), words(right).alias("_rw"))
-    total = records.count()
-    df = r.select(F.explode("_rw").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
-    rare = df.where(F.col("_df") <= max(100, int(total * COMMON_SHARE))).select("_t")
-    er = e.select(entry_id, F.explode("_w").alias("_t")).join(rare, "_t")
-    rr = r.select(record_id, F.explode("_rw").alias("_t")).join(rare, "_t")
-    by_word = er.join(rr, "_t").select(entry_id, record_id).distinct()
-    lone = e.where("_title <> ''").join(er.select(entry_id).distinct(), entry_id, "left_anti")
-    whole = lone.join(r.where("_rtitle <> ''"), F.col("_title") == F.col("_rtitle")).select(entry_id, record_id)
+    rr = r.select(record_id, F.explode("_rw").alias("_t"))
+    rare = rr.groupBy("_t").agg(F.count("*").alias("_df")).where(F.col("_df") <= COMMON)
+    own = e.select(entry_id, F.explode("_w").alias("_t")).join(rare, "_t").groupBy(entry_id).agg(F.slice(F.array_sort(F.collect_list(F.struct("_df", "_t"))), 1, RARE_WORDS).alias("_r"))
+    er = own.select(entry_id, F.explode("_r._t").alias("_t"))
+    by_word = er.join(rr.join(rare.select("_t"), "_t"), "_t").select(entry_id, record_id).distinct()
+    first = Window.partitionBy("_rtitle").orderBy(record_id)
+    top = r.where("_rtitle <> ''").select(record_id, "_rtitle").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit)
+    lone = e.where("_title <> ''").join(own.select(entry_id), entry_id, "left_anti")
+    whole = lone.join(top, F.col("_title") == F.col("_rtitle")).select(entry_id, record_id)
     pairs = by_word.union(whole).join(e.select(entry_id, "_w"), entry_id).join(r.select(record_id, "_rw"), record_id)
     scored = pairs.withColumn("shared", F.size(F.array_intersect("_w", "_rw"))).withColumn("_all", F.size(F.array_union("_w", "_rw")))
     w = Window.partitionBy(entry_id).orderBy((F.col("shared") / F.col("_all")).desc(), record_id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The result buckets in the order they are reported.
@@ -42,12 +42,10 @@ def metrics(pairs: DataFrame, positive: str = "matched") -> DataFrame:
 
 
 def ordered(results: DataFrame, pos: str, bucket: str = "bucket") -> DataFrame:
-    """Results with ``ord``: bucket by bucket in the fixed order, input order within.
-
-    The number is a count of the buckets before plus a rank in the own bucket.
-    """
+    """Results with ``bucket_ord``, sorted bucket by bucket in the fixed order and by input order
+    within; a range-partitioned sort, so that a large bucket spreads over many tasks."""
     place = F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), F.col(bucket))
-    return results.withColumn("bucket_ord", place.cast("int")).withColumn("ord", F.row_number().over(Window.partitionBy(bucket).orderBy(pos)))
+    return results.withColumn("bucket_ord", place.cast("int")).orderBy("bucket_ord", pos)
 
 
 def jsonl(results: DataFrame, summary: DataFrame) -> DataFrame:

@@ -468,7 +468,7 @@ def k_jsonl_report(spark: SparkSession, d: str) -> DataFrame:
     return report.jsonl(r, r.agg(F.count("*").alias("total")))
 
 
-@query(sql.scored(_PAIRS, "case_id AS pos, CASE status WHEN 'matched' THEN 'verified' WHEN 'no_match' THEN 'not_found' ELSE status END AS bucket", "SELECT pos, bucket, CAST(list_position(['verified','updated','ambiguous','not_found','source_unavailable','identifier_conflict','invalid_input','errors'], bucket) AS INTEGER) AS bucket_ord, CAST(row_number() OVER (PARTITION BY bucket ORDER BY pos) AS INTEGER) AS ord FROM ({})"))
+@query(sql.scored(_PAIRS, "case_id AS pos, CASE status WHEN 'matched' THEN 'verified' WHEN 'no_match' THEN 'not_found' ELSE status END AS bucket", "SELECT pos, bucket, CAST(list_position(['verified','updated','ambiguous','not_found','source_unavailable','identifier_conflict','invalid_input','errors'], bucket) AS INTEGER) AS bucket_ord FROM ({})"))
 def w_bucket_order(spark: SparkSession, d: str) -> DataFrame:
     c = _assessed(spark, d, False)
     bucket = F.when(F.col("status") == "matched", "verified").when(F.col("status") == "no_match", "not_found").otherwise(F.col("status"))
