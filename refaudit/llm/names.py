@@ -53,7 +53,10 @@ DIGRAPH = re.compile(r"(?<=[^aeiou])([aou])e(?=[^aeiou]|$)")
 
 
 def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower().translate(EXTRA)) if not unicodedata.combining(c))
+    low = text.lower()
+    if low.isascii():
+        return low
+    return "".join(c for c in unicodedata.normalize("NFD", low.translate(EXTRA)) if not unicodedata.combining(c))
 
 
 def family(text: str) -> str:
