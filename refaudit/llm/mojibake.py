@@ -4,9 +4,9 @@ A wrong code page turns each letter of a value into a fixed sequence of other ch
 misread value is a substitution cipher whose key belongs to the code page it went through, its
 source. The operator cuts values into cipher units by the byte structure they show under a source,
 counts every unit with its neighbours over the whole corpus, and learns by expectation-maximization
-which letter each unit stands for, or that it is ordinary text, judged by the letter bigrams of the
-clean values. The learned mapping is then applied with ``translate``; twice misread text is
-restored in turns.
+whether a unit stands for the letter that its bytes give, or is ordinary text, judged by the letter
+bigrams of the clean values. The learned mapping is then applied unit by unit; units of a
+multi-byte page (gb18030) are decided by decoding alone. Twice misread text is restored in turns.
 
 Letters that were lost (replacement characters, or question marks inside words) cannot be
 restored; such values are found but keep the lost places.
