@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A word in more titles than this does not find candidates; a title of such words only is looked
-#: up as a whole.
-COMMON = 1_000
-#: Words of an entry that find candidates, the rarest first.
-RARE_WORDS = 3
+#: Titles a word offers, the shortest first, to find how close an entry's records are at least.
+SEEDS = 16
 LIMIT = 5
 
 
@@ -32,28 +29,43 @@ def exact(entries: DataFrame, index: DataFrame, entry_id: str, chosen: Column) -
 
 def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: str, left: Column, right: Column, limit: int = LIMIT) -> DataFrame:
     """(entry, record id, shared, rank): the ``limit`` records closest to each entry's title by
-    the share of common words, among those that have one of its ``RARE_WORDS`` rarest words.
-
-    An entry that has only common words gets the records of the same title, the smallest ids
-    first. So the work for an entry is bounded, and a title that a third of all records bear costs
-    no more than any other: the limit is applied before its rows are shuffled.
+    the share of common words, ties by id; a record without a common word is none of them.
+
+    This is exact, whatever words the titles have. Titles of the same words rank alike and are
+    looked up once. A few titles a word give each entry a share that its last record has at least.
+    With all words in one order, the rarest first, a pair's first common word bounds its share by
+    the words that follow in both titles; so only those cells (word, length, place in the title)
+    are read whose bound reaches the entry's, and every record of the result is in one. Ids are
+    taken to be unique.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    e = entries.select(F.col(entry_id), left.alias("_title"), words(left).alias("_w"))
-    r = records.select(F.col(record_id), right.alias("_rtitle"), words(right).alias("_rw"))
-    rr = r.select(record_id, F.explode("_rw").alias("_t"))
-    rare = rr.groupBy("_t").agg(F.count("*").alias("_df")).where(F.col("_df") <= COMMON)
-    own = e.select(entry_id, F.explode("_w").alias("_t")).join(rare, "_t").groupBy(entry_id).agg(F.slice(F.array_sort(F.collect_list(F.struct("_df", "_t"))), 1, RARE_WORDS).alias("_r"))
-    er = own.select(entry_id, F.explode("_r._t").alias("_t"))
-    by_word = er.join(rr.join(rare.select("_t"), "_t"), "_t").select(entry_id, record_id).distinct()
-    first = Window.partitionBy("_rtitle").orderBy(record_id)
-    top = r.where("_rtitle <> ''").select(record_id, "_rtitle").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit)
-    lone = e.where("_title <> ''").join(own.select(entry_id), entry_id, "left_anti")
-    whole = lone.join(top, F.col("_title") == F.col("_rtitle")).select(entry_id, record_id)
-    pairs = by_word.union(whole).join(e.select(entry_id, "_w"), entry_id).join(r.select(record_id, "_rw"), record_id)
-    scored = pairs.withColumn("shared", F.size(F.array_intersect("_w", "_rw"))).withColumn("_all", F.size(F.array_union("_w", "_rw")))
-    w = Window.partitionBy(entry_id).orderBy((F.col("shared") / F.col("_all")).desc(), record_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(entry_id, record_id, "shared", "rank")
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")))
+    of_entry = entries.select(F.col(entry_id), words(left).alias("_w")).where(F.size("_w") > 0)
+    e = of_entry.groupBy("_w").agg(F.min(entry_id).alias("_e"))
+    first = Window.partitionBy("_rw").orderBy(record_id)
+    r = records.select(F.col(record_id), words(right).alias("_rw")).where(F.size("_rw") > 0).withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= limit)
+    r = r.groupBy("_rw").agg(F.min(record_id).alias("_r"), F.collect_list(record_id).alias("_ids"))
+
+    df = r.select(F.explode("_rw").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
+    ranked = lambda d, k, w: d.select(k, F.explode(w).alias("_t")).join(df, "_t", "left").groupBy(k).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_t"))).alias("_o"))
+    places = lambda d, k, n, p: d.select(k, F.size("_o").alias(n), F.posexplode("_o").alias(p, "_x")).where("_x._df > 0").select(k, n, p, F.col("_x._t").alias("_t"))
+    asked, held = places(ranked(e, "_e", "_w"), "_e", "_m", "_p"), places(ranked(r, "_r", "_rw"), "_r", "_n", "_q")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(e, "_e").join(r.select("_r", "_rw", "_ids"), "_r").withColumn("shared", F.size(F.array_intersect("_w", "_rw")))
+        return both.withColumn("_share", F.col("shared") / (F.size("_w") + F.size("_rw") - F.col("shared"))).drop("_w", "_rw")
+
+    seed = held.withColumn("_i", F.row_number().over(Window.partitionBy("_t").orderBy("_n", "_r"))).where(F.col("_i") <= SEEDS).select("_t", "_r")
+    down = Window.partitionBy("_e").orderBy(F.col("_share").desc(), "_r").rowsBetween(Window.unboundedPreceding, 0)
+    least = scored(asked.join(seed, "_t").select("_e", "_r").distinct()).withColumn("_c", F.sum(F.size("_ids")).over(down)).where(F.col("_c") >= limit).groupBy("_e").agg(F.max("_share").alias("_least"))
+
+    cells = held.select("_t", "_n", "_q").distinct()
+    most = F.least(F.col("_m") - F.col("_p"), F.col("_n") - F.col("_q"))
+    reach = most / (F.col("_m") + F.col("_n") - most) >= F.coalesce("_least", F.lit(0.0))
+    pairs = asked.join(least, "_e", "left").join(cells, "_t").where(reach).select("_e", "_t", "_n", "_q").join(held, ["_t", "_n", "_q"]).select("_e", "_r").distinct()
+    best = scored(pairs).select("_e", "shared", "_share", F.explode("_ids").alias(record_id))
+    w = Window.partitionBy("_e").orderBy(F.col("_share").desc(), record_id)
+    top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return of_entry.join(e, "_w").select(entry_id, "_e").join(top, "_e").select(entry_id, record_id, "shared", "rank")
 
 
 def with_fallback(hits: DataFrame, entries: DataFrame, search, entry_id: str) -> DataFrame:

@@ -117,6 +117,22 @@ def test_title_lookup_is_limited_and_ordered(spark):
     assert got[0]["rid"] == 100 and len(got) == 5 and {g["id"] for g in got} == {1}
 
 
+def test_title_lookup_is_exact_whatever_the_words(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)]
+    records = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 7)))) for i in range(3_000)] + [(3_000, "r1 r2 r3 r4"), (3_001, "r1 r2 r3"), (3_002, "")]
+    entries = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 7)))) for i in range(40)] + [(40, "w0 w1 w2 w3 r1 r2 r3"), (41, "nowhere"), (42, " "), (43, "w0 w1 w2 w3 w4 nowhere")]
+    got = lookup.by_title(spark.createDataFrame(entries, "id int, t string"), spark.createDataFrame(records, "rid int, rt string"), "id", "rid", F.col("t"), F.col("rt"))
+    want = []
+    for i, t in entries:
+        a = set(t.split())
+        near = sorted((-len(a & b) / len(a | b), r, len(a & b)) for r, x in records if a & (b := set(x.split())))
+        want += [(i, r, n, k) for k, (_, r, n) in enumerate(near[:5], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_cache(spark):
     log = spark.createDataFrame([("k", 1.0, "a"), ("k", 5.0, "b"), ("m", 0.0, "c")], "cache_key string, created double, body string")
     state = lookup.latest(log, "cache_key", ["created"])
