@@ -53,9 +53,7 @@ PROSE = ("abstract", "note", "report")
 def running_text(text: str) -> str:
     """The text with everything that is not running text blanked; positions stay."""
     blank = lambda m: " " * len(m.group())
-    m = REFERENCE.search(text)
-    if m:
-        text = text[: m.start()]
+    text = REFERENCE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)  # lines still end paragraphs
     text = HEADING.sub(blank, text)
     text = MACHINE_LINE.sub(blank, text)
     return QUOTED.sub(blank, text)

@@ -117,3 +117,10 @@ def test_held_out_accuracy(spark):
     got = languages.spans([r["text"] for r in test], model)
     right = sum(any(s[0] == r["code"] for s in x) for r, x in zip(test, got))
     assert right / len(test) > 0.8  # some labels are wrong on purpose
+
+
+def test_text_after_references_is_kept():
+    text = "Some words before\n\n[1] Doe, J. A title. 2001.\n[2] Roe, R. Another. 2002.\n\nMore words after."
+    got = languages.running_text(text)
+    assert len(got) == len(text) and got.split() == "Some words before More words after.".split()
+    assert languages.STOP.search(got, 0, got.index("More"))
