@@ -6,14 +6,18 @@ compared without null handling.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The shapes of the identifiers.
 DOI_SHAPE = r"(?i)10\.\d{4,9}/[-._;()/:a-z0-9]+"
-ARXIV_SHAPE = r"(?i)(?:arxiv:\s*|arxiv\.org/(?:abs|pdf)/)?(\d{4}\.\d{4,5}|[a-z.-]+/\d{7})(?:v\d+)?"
-PMID_IN_TEXT = r"(?i)(?:pubmed\.ncbi\.nlm\.nih\.gov/|pubmed/|pmid[:\s]+)(\d+)"
+ARXIV_SHAPE = r"(?i)(?:arxiv\s*:\s*|arxiv\.org/(?:abs|pdf)/)?(\d{4}\.\d{4,5}|[a-z.-]+/\d{7})(?:v\d+)?"
+PMID_IN_TEXT = r"(?i)(?:pubmed\.ncbi\.nlm\.nih\.gov/|PMID\s*:?\s*)(\d+)"
 PMCID_SHAPE = r"(PMC\d+)"
+#: Request headers that are no part of a cache key, as they hold secrets, and response
+#: headers that are kept with a cached body.
+SECRET_HEADERS = ("authorization", "x-api-key", "cookie")
+KEPT_HEADERS = ("content-type", "etag", "last-modified")
 
 
 #: White space that is stripped from the ends of values.
@@ -34,17 +38,22 @@ def plain(c: Column | str) -> Column:
     return strip(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"[{}]", ""))
 
 
+def _unwrapped(c: Column | str) -> Column:
+    """Plain text without a leading ``doi:`` label and resolver address."""
+    text = F.regexp_replace(plain(c), r"(?i)^doi\s*:\s*", "")
+    return F.regexp_replace(text, r"(?i)^https?://(dx\.)?doi\.org/", "")
+
+
 def doi(c: Column | str) -> Column:
     """Bare lower-case DOI; text without a DOI-shaped part is kept as it is, in lower case."""
-    text = F.regexp_replace(plain(c), r"(?i)^doi:\s*", "")
-    text = F.regexp_replace(text, r"(?i)^https?://(dx\.)?doi\.org/", "")
+    text = _unwrapped(c)
     shaped = F.regexp_extract(text, f"({DOI_SHAPE})", 1)
     return F.lower(F.rtrim(F.when(shaped != "", shaped).otherwise(text), F.lit(".,; ")))
 
 
 def pmid(c: Column | str) -> Column:
     """First run of digits."""
-    return F.regexp_extract(F.regexp_replace(plain(c), r"(?i)^pmid:\s*", ""), r"(\d+)", 1)
+    return F.regexp_extract(F.regexp_replace(plain(c), r"(?i)^pmid\s*:\s*", ""), r"(\d+)", 1)
 
 
 def pmcid(c: Column | str) -> Column:
@@ -54,7 +63,7 @@ def pmcid(c: Column | str) -> Column:
 
 def arxiv(c: Column | str) -> Column:
     """arXiv id of either style, without version, in lower case."""
-    return F.lower(F.regexp_extract(F.regexp_replace(plain(c), r"(?i)\.pdf", ""), ARXIV_SHAPE, 1))
+    return F.lower(F.regexp_extract(F.replace(plain(c), F.lit(".pdf"), F.lit("")), ARXIV_SHAPE, 1))
 
 
 def _first(*cs: Column) -> Column:
@@ -71,18 +80,34 @@ def extract(fields: dict[str, Column]) -> Column:
     d = _first(F.when(get("doi") != "", doi(get("doi"))).otherwise(""), F.lower(F.rtrim(F.regexp_extract(hay, f"({DOI_SHAPE})", 1), F.lit(".,; "))))
     p = _first(pmid(get("pmid")), F.regexp_extract(hay, PMID_IN_TEXT, 1))
     c = _first(pmcid(get("pmcid")), pmcid(hay))
-    a = _first(arxiv(get("eprint")), arxiv(hay), F.regexp_extract(d, r"^10\.48550/arxiv\.(.+)$", 1))
+    a = _first(arxiv(get("eprint")), arxiv(hay), arxiv(F.regexp_extract(d, r"^10\.48550/arxiv\.(.+)$", 1)))
     return F.struct(d.alias("doi"), p.alias("pmid"), c.alias("pmcid"), a.alias("arxiv"))
 
 
+def with_ids(df: DataFrame, fields: dict[str, Column], prefix: str) -> DataFrame:
+    """``df`` with the columns of :func:`extract` as ``<prefix>doi``, ``<prefix>pmid``,
+    ``<prefix>pmcid`` and ``<prefix>arxiv``.
+
+    In steps, so that no expression is repeated wherever its result is used.
+    """
+    named = {"doi": doi, "pmid": pmid, "pmcid": pmcid, "eprint": arxiv}
+    get = lambda k: fields.get(k, F.lit(""))
+    step = df.withColumns({f"{prefix}{k}_": f(get(k)) for k, f in named.items()} | {f"{prefix}hay": F.concat_ws(" ", *[plain(get(k)) for k in ("url", "note", "howpublished")])})
+    hay, own = F.col(f"{prefix}hay"), lambda k: F.col(f"{prefix}{k}_")
+    found = {"doi": F.lower(F.rtrim(F.regexp_extract(hay, f"({DOI_SHAPE})", 1), F.lit(".,; "))), "pmid": F.regexp_extract(hay, PMID_IN_TEXT, 1), "pmcid": pmcid(hay)}
+    step = step.withColumns({f"{prefix}{k}": F.when(own(k) != "", own(k)).otherwise(v) for k, v in found.items()} | {f"{prefix}arxiv_": F.when(own("eprint") != "", own("eprint")).otherwise(arxiv(hay))})
+    by_doi = arxiv(F.regexp_extract(f"{prefix}doi", r"^10\.48550/arxiv\.(.+)$", 1))
+    step = step.withColumn(f"{prefix}arxiv", F.when(F.col(f"{prefix}arxiv_") != "", F.col(f"{prefix}arxiv_")).otherwise(by_doi))
+    return step.drop(*[f"{prefix}{k}_" for k in (*named, "arxiv")], f"{prefix}hay")
+
+
 def has_any(ids: Column) -> Column:
     return (ids["doi"] != "") | (ids["pmid"] != "") | (ids["pmcid"] != "") | (ids["arxiv"] != "")
 
 
 def display_doi(c: Column | str) -> Column:
     """DOI without wrapper, in its own letter case, outer ``.,;`` and blanks trimmed."""
-    text = F.regexp_replace(F.regexp_replace(plain(c), r"(?i)^doi:\s*", ""), r"(?i)^https?://(dx\.)?doi\.org/", "")
-    return F.trim(F.btrim(F.trim(text), F.lit(".,; ")))
+    return F.trim(F.btrim(F.trim(_unwrapped(c)), F.lit(".,; ")))
 
 
 def url_host(c: Column | str) -> Column:
@@ -108,19 +133,45 @@ def has_arxiv(fields: dict[str, Column]) -> Column:
     )
 
 
-def citation_key(author: Column, year: Column, title: Column, doi_col: Column) -> Column:
-    """Family of the first author, year and first word of the title; else the DOI's suffix."""
-    lead = F.trim(F.get(F.split(plain(author), r"(?i)\s+and\s+"), F.lit(0)))
-    family = F.when(lead.contains(","), F.trim(F.split(lead, ",")[0])).otherwise(F.regexp_extract(lead, r"(\S+)$", 1))
-    word = F.regexp_extract(plain(title), r"([A-Za-z0-9]+)", 1)
-    key = F.concat_ws("", family, plain(year), word)
-    suffix = F.regexp_extract(doi(doi_col), r"/(.+)$", 1)
-    raw = F.when(family != "", key).otherwise(F.when(suffix != "", suffix).otherwise(key))
-    clean = F.btrim(F.regexp_replace(raw, r"[^A-Za-z0-9_:-]", ""), F.lit("_:-"))
-    return F.when(clean == "", F.lit("reference")).otherwise(clean)
+def as_map(ids: Column) -> Column:
+    """The identifiers that are present, as a map of name -> value."""
+    names = ("doi", "pmid", "pmcid", "arxiv")
+    return F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), ids[n])]), lambda k, v: v != "")
+
+
+def citation_key(family: Column, year: Column, title: Column, doi_col: Column) -> Column:
+    """Family name, year and first ASCII word of the title, those that are known; if none is, the
+    last part of the DOI. Runs of other signs become one underscore; outer ``_:-`` are dropped."""
+    word = F.regexp_extract(F.coalesce(title, F.lit("")), r"([A-Za-z0-9]+)", 1)
+    known = F.concat(F.coalesce(family, F.lit("")), F.coalesce(year, F.lit("")), word)
+    raw = F.when(known != "", known).otherwise(F.substring_index(doi(doi_col), "/", -1))
+    clean = F.btrim(F.regexp_replace(raw, r"[^A-Za-z0-9_:-]+", "_"), F.lit("_:-"))
+    return F.when(clean == "", F.lit("crossref_entry")).otherwise(clean)
+
+
+def json_text(c: Column) -> Column:
+    """A JSON string in ASCII: quotes, backslashes, control and other characters are escaped."""
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    table = F.create_map(*[F.lit(x) for kv in short.items() for x in kv])
+    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), r"(.{4})", r"\\u$1")
+    one = lambda ch: F.coalesce(table[ch], F.when(ch.rlike(r"^[\x20-\x7e\x7f]$"), ch).otherwise(units(ch)))
+    body = F.when(c.rlike(r'[^\x20-\x7f]|["\\]'), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
+def _json_object(entries: Column) -> Column:
+    parts = F.transform(F.array_sort(entries), lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(F.coalesce(e["value"], F.lit("")))))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def cache_key(url: Column, params: Column, headers: Column | None = None) -> Column:
+    """SHA-256 of a request as compact JSON with sorted names: url, parameters and those headers
+    that hold no secret, their names in lower case (``params`` and ``headers`` are string maps)."""
+    named = F.filter(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))), lambda e: ~e["key"].isin(*SECRET_HEADERS)) if headers is not None else F.map_entries(F.create_map().cast("map<string,string>"))
+    text = F.concat(F.lit('{"headers":'), _json_object(named), F.lit(',"params":'), _json_object(F.map_entries(params)), F.lit(',"url":'), json_text(url), F.lit("}"))
+    return F.sha2(text, 256)
 
 
-def cache_key(url: Column, params: Column) -> Column:
-    """SHA-256 of url and sorted parameters (a map column)."""
-    ordered = F.array_sort(F.transform(F.map_entries(params), lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))), F.lit(":"), F.to_json(F.struct(e["value"].alias("v"))))))
-    return F.sha2(F.concat_ws("\n", url, F.array_join(ordered, ",")), 256)
+def kept_headers(headers: Column) -> Column:
+    """The response headers that are stored with a cached body."""
+    return F.map_filter(headers, lambda k, v: F.lower(k).isin(*KEPT_HEADERS))
