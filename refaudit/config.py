@@ -1,4 +1,7 @@
-"""Settings of a run from JSON files, overrides and the environment, checked once."""
+"""Settings of a run: defaults, a JSON file, overrides and the environment, checked once.
+
+The names of the settings are fixed values, so that existing configuration files can be used.
+"""
 
 from __future__ import annotations
 
@@ -12,19 +15,27 @@ from refaudit.operators import merge, ranking, scoring
 from refaudit.plans.engine import Settings
 from refaudit.session import atomic_write
 
-#: Variables of the environment that override a setting.
-ENVIRONMENT = {"CROSSREF_EMAIL": ("contact", "email"), "SEMANTIC_SCHOLAR_API_KEY": ("keys", "semantic_scholar"), "PUBMED_API_KEY": ("keys", "pubmed"), "CORE_API_KEY": ("keys", "core")}
+#: Sources whose access key can be given in the environment, as REFAUDIT_<SOURCE>_API_KEY.
+KEYED = ("openalex", "semantic_scholar", "pubmed", "core")
 FORMS = ("txt", "json", "jsonl", "csv")
+LANGUAGES = ("CN", "EN")
+UNIT = ("title_match_threshold", "match_threshold", "ambiguous_threshold", "ambiguity_margin", "auto_update_threshold")
+POSITIVE = ("timeout", "connect_timeout", "read_timeout")
+NOT_NEGATIVE = ("max_retries", "delay_between_requests", "cache_ttl_hours")
 
 
 def defaults() -> dict[str, Any]:
     return {
-        "sources": {n: {"enabled": on, "priority": p} for n, p, on in ranking.SOURCES},
-        "matching": {"matched": scoring.MATCHED, "ambiguous": scoring.AMBIGUOUS, "margin": scoring.MARGIN, "auto_update": merge.THRESHOLD, "stop_on_match": True},
-        "cache": {"ttl_hours": 168, "max_body_bytes": 10 * 1024 * 1024},
-        "output": {"form": "txt", "report": True, "backup": True, "updated": True, "review": True},
-        "encoding": "auto",
-    }
+        "language": "CN", "bib_file": "references.bib", "encoding": "auto", "output_dir": None, "user_info": {"email": "research@example.com", "app_name": "refaudit"},
+        "platforms": {n: {"enabled": on, "priority": p} | ({"api_key": ""} if n in KEYED else {}) for n, p, on in ranking.SOURCES},
+        "query_settings": {
+            "delay_between_requests": 0.5, "timeout": 10.0, "connect_timeout": 3.05, "read_timeout": 20.0, "max_retries": 3, "backoff_factor": 0.5, "stop_on_first_match": True,
+            "title_match_threshold": 0.86, "match_threshold": scoring.MATCHED, "ambiguous_threshold": scoring.AMBIGUOUS, "ambiguity_margin": scoring.MARGIN, "auto_update_threshold": merge.THRESHOLD,
+            "cache_enabled": True, "cache_ttl_hours": 168, "cache_path": "refaudit-cache",
+        },
+        "output_settings": {"generate_report": True, "generate_backup": True, "generate_updated_bib": True, "generate_review_bib": True, "report_format": "txt", "timestamp_format": "%Y%m%d_%H%M%S"},
+        "tables": {},
+    }
 
 
 def overlay(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
@@ -36,44 +47,77 @@ def overlay(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
 
 
 def load(path: str | None = None, overrides: Mapping[str, Any] | None = None, env: Mapping[str, str] = os.environ) -> dict[str, Any]:
-    """Defaults, then the file (UTF-8, a BOM allowed), the environment and the overrides.
-
-    Relative paths under ``paths`` count from the folder of the file.
+    """Defaults, then the file (UTF-8, a BOM allowed; it may be missing), the overrides, and over
+    them the environment. Relative paths count from the folder of the file.
     """
-    settings = defaults()
-    if path:
+    given: dict[str, Any] = {}
+    if path and Path(path).exists():
         given = json.loads(Path(path).read_text("utf-8-sig"))
         if not isinstance(given, dict):
             raise ValueError("the settings must be a JSON object")
-        settings = overlay(settings, given)
-        at = Path(path).resolve().parent
-        settings["paths"] = {k: str(p if (p := Path(v)).is_absolute() else at / p) for k, v in settings.get("paths", {}).items()}
-    for name, (group, key) in ENVIRONMENT.items():
-        if env.get(name):
-            settings = overlay(settings, {group: {key: env[name]}})
+    settings = overlay(defaults(), given)
+    out = settings["output_settings"]
+    if "generate_wrong_bib" in given.get("output_settings", {}):  # the older name of the switch
+        out["generate_review_bib"] = out["generate_wrong_bib"]
     settings = overlay(settings, overrides or {})
+    for layer in (given, overrides or {}):  # the older single timeout
+        asked = layer.get("query_settings", {})
+        if "timeout" in asked and "read_timeout" not in asked:
+            settings["query_settings"]["read_timeout"] = asked["timeout"]
+    if env.get("REFAUDIT_EMAIL"):
+        settings["user_info"]["email"] = env["REFAUDIT_EMAIL"]
+    for source in KEYED:
+        if key := env.get(f"REFAUDIT_{source.upper()}_API_KEY"):
+            settings["platforms"].setdefault(source, {})["api_key"] = key
+    settings["language"] = str(settings["language"]).upper()
+    settings["output_settings"]["report_format"] = str(settings["output_settings"]["report_format"]).lower()
     check(settings)
+    at = Path(path).expanduser().resolve().parent if path else Path.cwd()
+    absolute = lambda v: str((at / Path(v).expanduser()).resolve())
+    settings["bib_file"] = absolute(settings["bib_file"])
+    settings["output_dir"] = absolute(settings["output_dir"]) if settings["output_dir"] else str(Path(settings["bib_file"]).parent)
+    settings["query_settings"]["cache_path"] = absolute(settings["query_settings"]["cache_path"])
     return settings
 
 
 def check(settings: Mapping[str, Any]) -> None:
-    to_settings(settings)
-    if settings["output"]["form"] not in FORMS:
-        raise ValueError(f"form must be one of {', '.join(FORMS)}")
-    if settings["cache"]["ttl_hours"] < 0 or settings["cache"]["max_body_bytes"] <= 0:
-        raise ValueError("cache limits must not be negative")
-    for name, s in settings["sources"].items():
+    if settings["language"] not in LANGUAGES:
+        raise ValueError(f"language must be one of {', '.join(LANGUAGES)}")
+    q = settings["query_settings"]
+    for names, fits, what in ((POSITIVE, lambda x: x > 0, "greater than 0"), (NOT_NEGATIVE, lambda x: x >= 0, "not negative"), (UNIT, lambda x: 0 <= x <= 1, "between 0 and 1")):
+        for n in names:
+            if not fits(float(q[n])):
+                raise ValueError(f"query_settings.{n} must be {what}")
+    if float(q["ambiguous_threshold"]) > float(q["match_threshold"]):
+        raise ValueError("query_settings.ambiguous_threshold must not exceed match_threshold")
+    if settings["output_settings"]["report_format"] not in FORMS:
+        raise ValueError(f"output_settings.report_format must be one of {', '.join(FORMS)}")
+    for name, s in settings["platforms"].items():
         if not isinstance(s.get("enabled", False), bool) or not isinstance(s.get("priority", 999), int):
             raise ValueError(f"source {name}: enabled must be true or false, priority a whole number")
 
 
 def to_settings(settings: Mapping[str, Any]) -> Settings:
-    rows = [(n, s.get("priority", 999), bool(s.get("enabled", False))) for n, s in settings["sources"].items()]
-    return Settings(**settings["matching"], sources=rows)
+    """What the engine needs of the settings."""
+    q, sources = settings["query_settings"], settings["platforms"]
+    return Settings(
+        matched=float(q["match_threshold"]), ambiguous=float(q["ambiguous_threshold"]), margin=float(q["ambiguity_margin"]), auto_update=float(q["auto_update_threshold"]), stop_on_match=bool(q["stop_on_first_match"]),
+        sources=[(n, s.get("priority", 999), bool(s.get("enabled", False))) for n, s in sources.items()], keys={n: s["api_key"] for n, s in sources.items() if s.get("api_key")},
+    )
+
+
+def within(root: str, path: str) -> str:
+    """The absolute path, counted from ``root``; an error if it leads out of it."""
+    base = Path(root).expanduser().resolve()
+    full = (base / Path(path).expanduser()).resolve()
+    if not full.is_relative_to(base):
+        raise ValueError(f"{path} lies outside {root}")
+    return str(full)
 
 
 def write_starter(path: str, force: bool = False) -> None:
     """The defaults as a file to start from; an existing file is kept unless forced."""
     if Path(path).exists() and not force:
         raise FileExistsError(path)
+    Path(path).absolute().parent.mkdir(parents=True, exist_ok=True)
     atomic_write(path, json.dumps(defaults(), indent=2, ensure_ascii=False) + "\n")

@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refaudit.functions import identifiers as ids
+
 #: Titles a word offers, the shortest first, to find how close an entry's records are at least.
 SEEDS = 16
 LIMIT = 5
 
 
-def id_index(records: DataFrame, id_col: str, kinds: dict[str, Column]) -> DataFrame:
-    """(kind, value, id) of every identifier a record carries; blanks are left out."""
+def id_index(records: DataFrame, id_col: str, kinds: dict[str, Column], limit: int | None = None) -> DataFrame:
+    """(kind, value, id) of every identifier a record carries; blanks are left out.
+
+    With ``limit`` an identifier keeps its first records by id, as a source answers it with no
+    more: a hot identifier is cut down before it meets the entries (partly before the shuffle).
+    """
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])
-    return records.select(F.col(id_col), F.explode(rows).alias("i")).select("i.kind", "i.value", id_col).where("value is not null and value <> ''").distinct()
+    each = records.select(F.col(id_col), F.explode(rows).alias("i")).select("i.kind", "i.value", id_col).where("value is not null and value <> ''")
+    if limit is None:
+        return each.distinct()
+    first = Window.partitionBy("kind", "value").orderBy(id_col)
+    return each.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
 
 
-def first_id(kinds: list[str], ids: dict[str, Column]) -> Column:
+def first_id(kinds: list[str], values: dict[str, Column]) -> Column:
     """struct(kind, value) of the first identifier present, in the source's order; null if none."""
-    return F.coalesce(*[F.when(ids[k] != "", F.struct(F.lit(k).alias("kind"), ids[k].alias("value"))) for k in kinds])
+    return F.coalesce(*[F.when(values[k] != "", F.struct(F.lit(k).alias("kind"), values[k].alias("value"))) for k in kinds])
 
 
 def exact(entries: DataFrame, index: DataFrame, entry_id: str, chosen: Column) -> DataFrame:
@@ -74,6 +84,16 @@ def with_fallback(hits: DataFrame, entries: DataFrame, search, entry_id: str) ->
     return hits.unionByName(search(rest))
 
 
+def two_hop(hits: DataFrame, records: DataFrame, entry_id: str, record_id: str, via: Column, limit: int = LIMIT) -> DataFrame:
+    """(entry, via, record id): a search that yields values of ``via`` (the ids of a source), then
+    the first records that carry them. Hits without such a value lead nowhere."""
+    named = records.select(F.col(record_id), via.alias("via")).where("via is not null and via <> ''")
+    found = hits.select(entry_id, record_id).join(named, record_id).select(entry_id, "via").distinct()
+    first = Window.partitionBy("via").orderBy(record_id)
+    held = named.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
+    return found.join(held, "via").select(entry_id, "via", record_id)
+
+
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key in the given order (an upsert log reduced to its state)."""
     body = [c for c in rows.columns if c != key]
@@ -83,9 +103,21 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def cached(requests: DataFrame, cache: DataFrame, now: Column, ttl_seconds: float) -> DataFrame:
     """Requests with ``hit`` and the cached body; an entry older than the ttl is a miss."""
-    fresh = cache.where((F.lit(ttl_seconds) > 0) & (now - F.col("created") <= ttl_seconds))
+    fresh = unexpired(cache, now, ttl_seconds)
     return requests.join(fresh, "cache_key", "left").withColumn("hit", F.col("created").isNotNull())
 
 
 def cacheable(status: Column, body_bytes: Column, limit: int = 10 * 1024 * 1024) -> Column:
     return status.between(200, 299) & (body_bytes <= limit)
+
+
+def unexpired(cache: DataFrame, now: Column, ttl_seconds: float) -> DataFrame:
+    """The rows of a cache that are still valid; what is older is removed by writing these back."""
+    return cache.where((F.lit(ttl_seconds) > 0) & (now - F.col("created") <= ttl_seconds))
+
+
+def put(cache: DataFrame, responses: DataFrame) -> DataFrame:
+    """The cache (cache_key, created, status, headers, body) after storing ``responses``: those of
+    success and bounded size with their harmless headers, the latest of a key."""
+    kept = responses.where(cacheable(F.col("status"), F.octet_length("body"))).withColumn("headers", ids.kept_headers(F.col("headers")))
+    return latest(cache.unionByName(kept.select(*cache.columns)), "cache_key", ["created"])

@@ -19,11 +19,11 @@ def decisions(df: DataFrame, keys: list[str], original: dict[str, Column], sugge
 
     Blank suggestions give no row; fields that only the original has stay untouched.
     """
-    at = {f: i for i, f in enumerate(suggested)}
-    forms = {f: text.field_form(f, original.get(f, F.lit(""))) == text.field_form(f, v) if norm is text.normalize else text.field_form(f, original.get(f, F.lit("")), norm) == text.field_form(f, v, norm) for f, v in suggested.items()}
-    wide = df.select(*keys, confidence.alias("_conf"), *[ids.strip(F.coalesce(v.cast("string"), F.lit(""))).alias(f"_s{at[f]}") for f, v in suggested.items()], *[ids.strip(F.coalesce(original[f].cast("string"), F.lit(""))).alias(f"_o{at[f]}") if f in original else F.lit("").alias(f"_o{at[f]}") for f in suggested], *[forms[f].alias(f"_e{at[f]}") for f in suggested])
-    row = [F.struct(F.lit(f).alias("field"), F.col(f"_o{i}").alias("original"), F.col(f"_s{i}").alias("suggested"), F.col(f"_e{i}").alias("normalized_equal")) for f, i in at.items() if f != "ID"]
-    long = wide.select(*keys, "_conf", F.explode(F.array(*row)).alias("x")).select(*keys, "_conf", "x.*").where("suggested <> ''")
+    value = lambda c: ids.strip(F.coalesce(c.cast("string"), F.lit("")))
+    row = [F.struct(F.lit(f).alias("field"), value(original.get(f, F.lit(""))).alias("original"), value(v).alias("suggested")) for f, v in suggested.items() if f != "ID"]
+    each = df.select(*keys, confidence.alias("_conf"), F.explode(F.array(*row)).alias("x")).select(*keys, "_conf", "x.*").where("suggested <> ''")
+    # one comparison a row, whatever the number of fields
+    long = each.withColumn("normalized_equal", text.any_field_form(F.col("field"), F.col("original"), norm) == text.any_field_form(F.col("field"), F.col("suggested"), norm))
     sure = F.col("_conf") >= threshold
     action = (
         F.when(F.col("normalized_equal") & (F.col("original") != ""), "keep_original")
@@ -44,14 +44,27 @@ def meaningful(action: Column, equal: Column) -> Column:
 
 
 def merged(long: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, changes, n_applied, n_meaningful): the applied values as a map, and counts."""
+    """(keys, changes, differences, field_diffs, n_applied, n_meaningful) of the decisions.
+
+    ``changes`` maps a field to its applied value, ``differences`` to the whole applied change;
+    ``field_diffs`` lists every decision by field name.
+    """
     a = applied(F.col("action"))
+    change = F.struct("original", "suggested", "action")
+    every = F.struct("field", "original", "suggested", "normalized_equal", "action")
+    each = F.array_sort(F.collect_list(F.when(a, F.struct("field", change.alias("change")))))
     return long.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(a, F.struct("field", "suggested"))))).alias("changes"),
-        F.count_if(a).alias("n_applied"), F.count_if(meaningful(F.col("action"), F.col("normalized_equal"))).alias("n_meaningful"),
+        F.map_from_entries(F.transform(each, lambda e: F.struct(e["field"], e["change"]["suggested"]))).alias("changes"), F.map_from_entries(each).alias("differences"),
+        F.array_sort(F.collect_list(every)).alias("field_diffs"), F.count_if(a).alias("n_applied"), F.count_if(meaningful(F.col("action"), F.col("normalized_equal"))).alias("n_meaningful"),
     )
 
 
+def long_form(entries: DataFrame, keys: list[str], fields: tuple[str, ...] | list[str]) -> DataFrame:
+    """(keys, field, value) of a wide table; missing values are left out."""
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    return entries.select(*keys, F.explode(rows).alias("_x")).select(*keys, "_x.*").where("value is not null")
+
+
 def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Fields of two long tables (keys, field, value) whose values differ apart from braces and
     case; a field that one side lacks counts as empty there."""

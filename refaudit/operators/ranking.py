@@ -17,6 +17,7 @@ SOURCES = [("crossref", 1, True), ("openalex", 2, True), ("semantic_scholar", 3,
 #: Parts of venue, publisher, keywords or title that hint at a field of research.
 BIOMEDICAL = ["pubmed", "pmc", "medline", "medicine", "medical", "biomed", "biology", "bioinformatics", "genome", "clinical", "epidemiology", "biorxiv", "medrxiv"]
 COMPUTING = ["acm", "ieee", "computer", "computing", "software", "algorithm", "machine learning", "artificial intelligence", "neural", "conference on", "symposium on"]
+#: Query statuses of a source that could not be asked.
 UNAVAILABLE = ["rate_limited", "auth_error", "network_error", "provider_error", "parse_error"]
 
 
@@ -108,6 +109,14 @@ def outcomes(results: DataFrame, id_col: str) -> DataFrame:
     return g.select(id_col, status.alias("status"), chosen["source"].alias("source"), chosen["score"].alias("score"), complete.alias("complete"), "providers")
 
 
+def first_match(results: DataFrame, id_col: str) -> DataFrame:
+    """(id, source, candidate): the best candidate of the first source, in rank order, that has one,
+    whatever its status."""
+    got = results.where(F.col("cand_pos").isNotNull())
+    best = got.groupBy(id_col).agg(F.min_by(F.struct("source", "candidate"), "rank").alias("_b"))
+    return best.select(id_col, "_b.*")
+
+
 def status_of_http(code: Column) -> Column:
     """Query status of an HTTP response code."""
     return F.when(code.between(200, 299), "ok").when(code == 404, "no_match").when(code == 429, "rate_limited").when(code.isin(401, 403), "auth_error").otherwise("provider_error")

@@ -11,15 +11,15 @@ REVIEW = BUCKETS[2:]
 CSV_COLUMNS = ("key", "status", "complete", "confidence", "reason", "platform")
 
 
-def duplicate_keys(entries: DataFrame, key: str) -> DataFrame:
-    """(key, n) of the keys that occur more than once."""
-    return entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+def duplicate_keys(entries: DataFrame, key: str, scope: list[str] = []) -> DataFrame:  # noqa: B006
+    """(scope, key, n) of the keys that occur more than once, within one list if it is named."""
+    return entries.where(F.col(key).isNotNull()).groupBy(*scope, key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def valid_keys(entries: DataFrame, key: str) -> DataFrame:
+def valid_keys(entries: DataFrame, key: str, scope: list[str] = []) -> DataFrame:  # noqa: B006
     """Entries whose key is present and unique (counted, then joined: no window on a hot key)."""
-    bad = duplicate_keys(entries, key).select(key)
-    return entries.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").join(bad, key, "left_anti")
+    bad = duplicate_keys(entries, key, scope).select(*scope, key)
+    return entries.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").join(bad, [*scope, key], "left_anti")
 
 
 def bucket_counts(results: DataFrame, bucket: str = "bucket") -> DataFrame:
@@ -48,17 +48,13 @@ def ordered(results: DataFrame, pos: str, bucket: str = "bucket") -> DataFrame:
     return results.withColumn("bucket_ord", place.cast("int")).orderBy("bucket_ord", pos)
 
 
-def jsonl(results: DataFrame, summary: DataFrame) -> DataFrame:
-    """Lines of a report: the summary first, then an entry a line."""
-    head = summary.select(F.lit(0).cast("bigint").alias("line"), F.to_json(F.struct(F.lit("summary").alias("type"), F.struct("*").alias("counts"))).alias("value"))
-    body = results.select((F.col("pos") + 1).cast("bigint").alias("line"), F.to_json(F.struct(F.lit("entry").alias("type"), *[c for c in CSV_COLUMNS if c in results.columns])).alias("value"))
-    return head.unionByName(body)
-
-
-def text_lines(results: DataFrame) -> DataFrame:
-    """(pos, value): one line per entry that is not verified, with confidence and reason."""
-    conf = F.coalesce(F.format_string("%.2f", F.round("confidence", 2)), F.lit("-"))
-    return results.where(F.col("status") != "verified").select("pos", F.concat_ws("", F.lit("["), F.coalesce("status", F.lit("unknown")), F.lit("] "), F.col("key"), F.lit(" (confidence "), conf, F.lit("): "), F.col("reason")).alias("value"))
+#: Labels of the text report.
+LABELS = {
+    "EN": {"title": "Report on the reference list", "complete": "Complete", "yes": "yes", "no": "no", "counts": "Counts", "entries": "Entries that need a look"},
+    "CN": {"title": "参考文献核查报告", "complete": "核查完整", "yes": "是", "no": "否", "counts": "数量", "entries": "需要查看的条目"},
+}
+#: Columns of a result that the reports leave out: they hold whole records.
+BULKY = ("changes", "pos", "path", "bucket", "n_applied", "n_meaningful")
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -68,15 +64,71 @@ def summary(results: DataFrame) -> DataFrame:
     """
     counts = [F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS]
     whole = F.coalesce(F.bool_and(F.coalesce("complete", F.lit(False))), F.lit(True)) & (F.count_if(F.col("bucket").isin("errors", "invalid_input")) == 0)
-    return results.agg(F.struct(*counts, F.count("*").alias("total")).alias("counts"), whole.alias("complete"), F.lit("1.0").alias("schema_version"))
-
-
-def payload(results: DataFrame) -> DataFrame:
-    """(part, value): the JSON report as lines that together are one document: the summary, then
-    an array of entries. No row holds more than one entry, whatever the size of the run."""
-    head = summary(results).select(F.lit(0).alias("part"), F.to_json(F.struct("*")).alias("value"))
-    body = results.select(F.lit(1).alias("part"), F.to_json(F.struct(*[c for c in results.columns])).alias("value"))
-    return head.unionByName(body)
+    return results.agg(F.lit("1.0").alias("schema_version"), whole.alias("complete"), F.struct(F.count("*").alias("total"), *counts).alias("counts"))
+
+
+def _entries(results: DataFrame) -> tuple[DataFrame, list[str]]:
+    at = F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), F.col("bucket")) if "bucket" in results.columns else F.lit(1)
+    place = F.struct(F.coalesce(at, F.lit(0)).cast("int").alias("bucket"), F.col("path") if "path" in results.columns else F.lit("").alias("path"), F.col("pos").cast("bigint").alias("pos"))
+    return results.withColumn("_at", place), [c for c in results.columns if c not in BULKY]
+
+
+def _lines(head: DataFrame, body: DataFrame, tail: DataFrame | None = None) -> DataFrame:
+    parts = [head.select(F.lit(0).alias("part"), F.lit(None).cast("struct<bucket: int, path: string, pos: bigint>").alias("at"), "value"), body.select(F.lit(1).alias("part"), F.col("_at").alias("at"), "value")]
+    if tail is not None:
+        parts.append(tail.select(F.lit(2).alias("part"), F.lit(None).cast("struct<bucket: int, path: string, pos: bigint>").alias("at"), "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def jsonl(results: DataFrame, about: dict[str, str] | None = None) -> DataFrame:
+    """(part, at, value): a report of JSON lines, the summary first, then an entry a line."""
+    rows, shown = _entries(results)
+    extra = [F.lit(v).alias(k) for k, v in (about or {}).items()]
+    head = summary(results).select(F.to_json(F.struct(F.lit("summary").alias("type"), "*", *extra)).alias("value"))
+    return _lines(head, rows.select("_at", F.to_json(F.struct(F.lit("entry").alias("type"), *shown)).alias("value")))
+
+
+def document(results: DataFrame, about: dict[str, str] | None = None) -> DataFrame:
+    """(part, at, value): lines that in their order are one JSON document, the counts and an array of
+    the entries. No line holds more than one entry, whatever the size of the run."""
+    rows, shown = _entries(results)
+    extra = [F.lit(v).alias(k) for k, v in (about or {}).items()]
+    head = summary(results).select(F.concat(F.regexp_replace(F.to_json(F.struct("*", *extra)), r"\}$", ""), F.lit(', "entries": [')).alias("value"))
+    tail = summary(results).select(F.lit("]}").alias("value"))
+    first = rows.agg(F.min("_at").alias("_at")).withColumn("_first", F.lit(True))
+    comma = F.when(F.col("_first"), "").otherwise(", ")
+    body = rows.select("_at", F.struct(*shown).alias("_e")).join(first, "_at", "left").select("_at", F.concat(comma, F.to_json("_e")).alias("value"))
+    return _lines(head, body, tail)
+
+
+def text_report(results: DataFrame, language: str = "EN") -> DataFrame:
+    """(part, at, value): title, completeness and counts, then every entry that is not verified with
+    its confidence, reason and the changes that were not kept out."""
+    t = LABELS[language]
+    rows, _ = _entries(results)
+    s = summary(results)
+    rule = "=" * 72
+    counts = [F.concat(F.lit(f"  {b}: "), F.col(f"counts.{b}").cast("string")) for b in ("total", *BUCKETS)]
+    head = s.select(F.array_join(F.array(F.lit(rule), F.lit(t["title"]), F.concat(F.lit(f"{t['complete']}: "), F.when(F.col("complete"), t["yes"]).otherwise(t["no"])), F.lit(rule), F.lit(f"{t['counts']}:"), *counts, F.lit(""), F.lit(f"{t['entries']}:")), "\n").alias("value"))
+    lines = [F.concat(F.lit("- "), F.coalesce("key", F.lit("")), F.lit(": "), F.coalesce("status", F.lit("unknown"))), F.concat(F.lit("  confidence: "), F.coalesce(F.col("confidence").cast("string"), F.lit("-"))), F.concat(F.lit("  reason: "), F.coalesce("reason", F.lit("")))]
+    value = F.array_join(F.array(*lines), "\n")
+    if "field_diffs" in results.columns:
+        open_ = F.filter("field_diffs", lambda d: d["action"] != "keep_original")
+        value = F.concat_ws("\n", value, F.array_join(F.transform(open_, lambda d: F.concat(F.lit("  "), d["field"], F.lit(": "), d["action"], F.lit(" ("), F.coalesce("platform", F.lit("-")), F.lit(", "), F.coalesce(F.col("confidence").cast("string"), F.lit("-")), F.lit(")"))), "\n"))
+        value = F.rtrim(value, F.lit("\n"))
+    return _lines(head, rows.where("status is null or status <> 'verified'").select("_at", value.alias("value")))
+
+
+def csv_lines(results: DataFrame) -> DataFrame:
+    """(part, at, value): a header and six columns an entry; quotes where a value needs them."""
+    rows, _ = _entries(results)
+    quoted = lambda c: F.when(c.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    shown = {"complete": F.when(F.col("complete"), "True").otherwise("False")}
+    body = rows.select("_at", F.concat_ws(",", *[quoted(shown.get(c, F.col(c).cast("string"))) for c in CSV_COLUMNS]).alias("value"))
+    return _lines(results.sparkSession.range(1).select(F.lit(",".join(CSV_COLUMNS)).alias("value")), body)
 
 
 def review(results: DataFrame) -> DataFrame:
@@ -89,13 +141,20 @@ def merge_maps(base: Column, over: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k)), over)
 
 
-def write(results: DataFrame, path: str, form: str) -> None:
-    """The report as csv (six columns), json lines or text, through Spark's commit protocol."""
+def lines(results: DataFrame, form: str, language: str = "EN", about: dict[str, str] | None = None) -> DataFrame:
+    """The lines of a report in one of its four forms, as (part, at, value)."""
     if form == "csv":
-        results.select(*CSV_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
-    elif form == "json":
-        results.write.mode("overwrite").json(path)
-    elif form == "txt":
-        text_lines(results).orderBy("pos").select("value").write.mode("overwrite").text(path)
-    else:
-        raise ValueError(f"unknown report form: {form}")
+        return csv_lines(results)
+    if form == "json":
+        return document(results, about)
+    if form == "jsonl":
+        return jsonl(results, about)
+    if form == "txt":
+        return text_report(results, language)
+    raise ValueError(f"unknown report form: {form}")
+
+
+def write(results: DataFrame, path: str, form: str, language: str = "EN") -> None:
+    """A report as files in a folder, through Spark's commit protocol; in the order of their names
+    they are one report."""
+    lines(results, form, language).orderBy("part", "at").select("value").write.mode("overwrite").text(path)

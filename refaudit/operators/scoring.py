@@ -33,14 +33,15 @@ def assess(df: DataFrame, left: str = "original", right: str = "candidate", matc
     venue = {s: F.when(get[s]["journal"] != "", get[s]["journal"]).otherwise(get[s]["booktitle"]) for s in (left, right)}
     step = df
     for tag, s in (("l", left), ("r", right)):
-        step = step.withColumns({f"_{tag}t": norm(get[s]["title"]), f"_{tag}v": norm(venue[s]), f"_{tag}p": norm(get[s]["pages"]), f"_{tag}a": sim.families(get[s]["author"], norm), f"_{tag}i": ids.extract(get[s])})
+        step = step.withColumns({f"_{tag}t": norm(get[s]["title"]), f"_{tag}v": norm(venue[s]), f"_{tag}p": norm(get[s]["pages"]), f"_{tag}a": sim.families(get[s]["author"], norm)})
+        step = ids.with_ids(step, get[s], f"_{tag}")
     step = step.withColumns({
         "_title": sim.title(F.col("_lt"), F.col("_rt"), exact),
         "_authors": sim.jaccard(F.col("_la"), F.col("_ra")),
         "_year": sim.year(get[left]["year"], get[right]["year"]),
         "_venue": F.when((venue[left] != "") & (venue[right] != ""), sim.title(F.col("_lv"), F.col("_rv"), exact)),
         "_pages": F.when((get[left]["pages"] != "") & (get[right]["pages"] != ""), (F.col("_lp") == F.col("_rp")).cast("double")),
-        "_ids": sim.identifiers(F.col("_li"), F.col("_ri")),
+        "_ids": sim.identifiers(*[{n: F.col(f"_{t}{n}") for n in ("doi", "pmid", "pmcid", "arxiv")} for t in "lr"]),
     })
     known = {"title": F.when((get[left]["title"] != "") & (get[right]["title"] != ""), F.col("_title"))} | {n: F.col(f"_{n}") for n in ("authors", "year", "venue", "pages")}
     total = sum((F.coalesce(v * WEIGHTS[n], F.lit(0.0)) for n, v in known.items()), F.lit(0.0))

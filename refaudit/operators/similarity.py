@@ -87,7 +87,7 @@ def pages(a: Column, b: Column, norm=text.normalize) -> Column:
     return F.when((F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != ""), (norm(a) == norm(b)).cast("double"))
 
 
-def identifiers(a: Column, b: Column) -> Column:
+def identifiers(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
     """struct(shared, conflicting): names of the identifiers that both sides have."""
     names = ("doi", "pmid", "pmcid", "arxiv")
     both = lambda n: (a[n] != "") & (b[n] != "")

@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refaudit.functions import identifiers as ids
 from refaudit.functions import text
 from refaudit.operators import lookup, merge, ranking, report, scoring
 from refaudit.session import atomic_write, materialize
-from refaudit.sources import adapters, bibtex
+from refaudit.sources import adapters, bibtex, responses
 
-FIELDS = ("title", "author", "journal", "booktitle", "year", "volume", "number", "pages", "publisher", "doi", "pmid", "pmcid", "eprint", "url", "note", "archiveprefix", "keywords")
+FIELDS = (
+    "title", "author", "journal", "booktitle", "year", "volume", "number", "pages", "publisher", "doi", "pmid", "pmcid", "eprint", "url", "note",
+    "howpublished", "archiveprefix", "primaryclass", "keywords",
+)
+RESULT = ("key", "title", "bucket", "status", "complete", "confidence", "reason", "platform", "changes", "differences", "field_diffs", "n_applied", "n_meaningful", "providers")
 
 
 @dataclass
 class Settings:
-    """Thresholds and switches of a run."""
+    """Thresholds and switches of a run.
+
+    With ``exact=False`` titles are compared without the sequence ratio and compatibility forms and
+    the whole run stays in the JVM. ``keys`` holds the access keys of sources that demand one.
+    """
 
     matched: float = scoring.MATCHED
     ambiguous: float = scoring.AMBIGUOUS
     margin: float = scoring.MARGIN
     auto_update: float = merge.THRESHOLD
     stop_on_match: bool = True
+    exact: bool = True
     sources: list[tuple[str, int, bool]] = field(default_factory=lambda: list(ranking.SOURCES))
+    keys: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name in ("matched", "ambiguous", "margin", "auto_update"):
@@ -35,117 +46,257 @@ class Settings:
             raise ValueError("ambiguous must not exceed matched")
 
 
+def _known(c: str) -> Column:
+    return ids.strip(F.coalesce(F.col(c), F.lit(""))) != ""
+
+
 class Engine:
-    """``Engine(spark).verify(entries, {"crossref": records, ...})``."""
+    """``Engine(spark).verify(entries, {"crossref": records, ...})``.
+
+    Entries have (pos, key, entrytype, the columns of FIELDS, extra) and, where they come from
+    several lists, (path); an entry is named by path and pos, its key is unique within its list.
+    """
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None) -> None:
         self.spark, self.settings = spark, settings or Settings()
 
-    def entries(self, path: str) -> DataFrame:
-        """Entries of reference list files as rows (pos, key, entrytype, fields, extra)."""
-        e = bibtex.read_files(self.spark, path)
+    def entries(self, path: str, encoding: str = "auto") -> DataFrame:
+        """Entries of reference list files as rows (path, pos, key, entrytype, fields, extra)."""
+        e = bibtex.read_files(self.spark, path, encoding)
         known = [F.coalesce(F.col("fields")[f], F.lit("")).alias(f) for f in FIELDS]
         extra = F.map_filter("fields", lambda k, v: ~k.isin(*FIELDS))
-        return e.select(F.col("pos").cast("bigint").alias("pos"), "key", "entrytype", *known, extra.alias("extra"))
+        return e.select("path", F.col("pos").cast("bigint").alias("pos"), "key", "entrytype", *known, extra.alias("extra"))
+
+    @staticmethod
+    def scope(entries: DataFrame) -> list[str]:
+        return ["path"] if "path" in entries.columns else []
+
+    def _norm(self, c: Column | str) -> Column:
+        return text.normalize(c) if self.settings.exact else text.normalize_native(c)
+
+    def named(self, entries: DataFrame) -> DataFrame:
+        """Entries with ``entry_ref`` and what they are asked by: identifiers ``_doi`` and so on, the
+        title's words ``_t``, whether there is a title (``_titled``) or anything to search by."""
+        e = ids.with_ids(entries, {f: F.col(f) for f in FIELDS}, "_")
+        kinds = ("doi", "pmid", "pmcid", "arxiv")
+        any_id = F.concat(*[F.col(f"_{k}") for k in kinds]) != ""
+        ref = F.struct(*[F.col(c) for c in (*self.scope(entries), "pos")])
+        e = e.withColumns({"entry_ref": ref, "_t": self._norm("title"), "_titled": _known("title")})
+        return materialize(e.withColumn("_searchable", F.col("_titled") | any_id))
 
-    def candidates(self, entries: DataFrame, source: str, records: DataFrame) -> DataFrame:
-        """(pos, source, cand_pos, candidate): the records a source answers an entry with."""
-        kinds, falls_back = adapters.ACCESS[source]
-        adapted = adapters.adapt(records, source, ["rec_id"])
+    def asked(self, named: DataFrame, source: str) -> DataFrame:
+        """(entry_ref, _t, _k, source_status, _titled): what a source is asked by, ``_k`` an identifier
+        or else the title ``_t``; a status where it cannot be asked at all."""
+        kinds, _, _ = adapters.ACCESS[source]
+        key = lookup.first_id(kinds, {k: F.col(f"_{k}") for k in kinds}) if kinds else F.lit(None).cast("struct<kind: string, value: string>")
+        if source == "biorxiv":
+            key = F.when(F.col("_doi").startswith("10.1101/"), key)
+            status = F.when(key.isNull(), "skipped")
+        else:
+            status = F.when(key.isNull() & ~F.col("_titled"), "invalid_input")
+        if source == "core" and not self.settings.keys.get("core"):
+            status = F.coalesce(status, F.lit("auth_error"))
+        return named.select("entry_ref", "_t", key.alias("_k"), status.alias("source_status"), "_titled")
+
+    def prepare(self, records: DataFrame, source: str) -> DataFrame:
+        """(rec_id, candidate, doi, pmid, pmcid, arxiv, _rt): a source's records adapted and indexed.
+
+        :meth:`verify` takes it in place of the records; written as a table once, it spares every run
+        (and every batch of a stream) the adaptation of the whole source.
+        """
+        adapted = adapters.records_of(records, source, ["rec_id"], native=not self.settings.exact)
         cols = set(adapted.columns)
         get = lambda f: F.col(f) if f in cols else F.lit(None).cast("string")
         body = adapted.select("rec_id", F.struct(*[get(f).alias(f) for f in ("ENTRYTYPE", *FIELDS)]).alias("candidate"))
-        eid = ids.extract({f: F.col(f) for f in ("doi", "pmid", "pmcid", "eprint", "url", "note", "archiveprefix")})
-        asked = entries.select("pos", text.normalize("title").alias("_t"), eid.alias("_i"))
-        if source == "biorxiv":
-            asked = asked.where(F.col("_i.doi").startswith("10.1101/"))
         parts = {"doi": ids.doi("candidate.doi"), "pmid": ids.pmid("candidate.pmid"), "pmcid": ids.pmcid("candidate.pmcid"), "arxiv": ids.arxiv("candidate.eprint")}
-        search = lambda rest: lookup.by_title(rest.select("pos", "_t"), body.select("rec_id", text.normalize("candidate.title").alias("_rt")), "pos", "rec_id", F.col("_t"), F.col("_rt")).select("pos", "rec_id")
-        if kinds:
-            index = lookup.id_index(body, "rec_id", {k: parts[k] for k in kinds})
-            hits = lookup.exact(asked, index, "pos", lookup.first_id(kinds, {k: F.col(f"_i.{k}") for k in kinds})).select("pos", "rec_id")
-            by_id = asked.where(lookup.first_id(kinds, {k: F.col(f"_i.{k}") for k in kinds}).isNotNull())
-            rest = asked if falls_back else asked.join(by_id.select("pos"), "pos", "left_anti")
-            pairs = lookup.with_fallback(hits, rest, search, "pos") if source != "biorxiv" else hits
+        return body.select("rec_id", "candidate", *[v.alias(k) for k, v in parts.items()], self._norm("candidate.title").alias("_rt"))
+
+    def candidates(self, asked: DataFrame, source: str, records: DataFrame) -> DataFrame:
+        """(entry_ref, source, cand_pos, candidate): the records a source answers an entry with."""
+        kinds, falls_back, limit = adapters.ACCESS[source]
+        index = records if "candidate" in records.columns else materialize(self.prepare(records, source))
+        body = index.select("rec_id", "candidate")
+
+        def search(rest: DataFrame) -> DataFrame:
+            titled = rest.where("_titled").select("entry_ref", "_t")
+            return lookup.by_title(titled, index.select("rec_id", "_rt"), "entry_ref", "rec_id", F.col("_t"), F.col("_rt")).select("entry_ref", "rec_id")
+
+        ready = asked.where("source_status is null")
+        if not kinds:
+            pairs = search(ready)
         else:
-            pairs = search(asked)
-        return pairs.join(body, "rec_id").select("pos", F.lit(source).alias("source"), F.col("rec_id").alias("cand_pos"), "candidate")
+            held = lookup.id_index(index, "rec_id", {k: F.col(k) for k in kinds}, limit)
+            hits = lookup.exact(ready, held, "entry_ref", F.col("_k")).select("entry_ref", "rec_id")
+            if source == "biorxiv":
+                pairs = hits
+            elif falls_back:
+                pairs = lookup.with_fallback(hits, ready, search, "entry_ref")
+            else:
+                pairs = hits.unionByName(search(ready.where("_k is null")))
+            if source == "pubmed":  # all but an id of its own lead to ids first, then to their records
+                own = ready.where("_k.kind = 'pmid'").select("entry_ref")
+                hop = lookup.two_hop(pairs.join(own, "entry_ref", "left_anti"), index, "entry_ref", "rec_id", F.col("pmid")).select("entry_ref", "rec_id")
+                pairs = pairs.join(own, "entry_ref", "left_semi").unionByName(hop).distinct()
+        return pairs.join(body, "rec_id").select("entry_ref", F.lit(source).alias("source"), F.col("rec_id").cast("bigint").alias("cand_pos"), "candidate")
 
-    def verify(self, entries: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-        """One row per entry: bucket, status, confidence, source, completeness, field decisions.
+    def _answers(self, valid: DataFrame, tables: Mapping[str, DataFrame], recorded: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """(statuses (entry_ref, source, asked_status), candidates) of all sources."""
+        statuses, found = [], []
+        for source, records in tables.items():
+            asked = self.asked(valid, source)
+            statuses.append(asked.where("source_status is not null").select("entry_ref", F.lit(source).alias("source"), F.col("source_status").alias("asked_status")))
+            found.append(self.candidates(asked, source, records))
+        if recorded is not None:
+            scope = self.scope(recorded)
+            read = responses.statuses(recorded.withColumn("entry_ref", F.struct(*[F.col(c) for c in (*scope, "pos")])))
+            statuses.append(read.where("source_status is not null").select("entry_ref", "source", F.col("source_status").alias("asked_status")))
+            for source in [s for s in adapters.ADAPTERS if s == "arxiv" or s in responses.PATHS]:
+                rows = responses.records(read.where((F.col("source") == source) & F.col("source_status").isNull()), source, ["entry_ref"], native=not self.settings.exact)
+                cols = set(rows.columns)
+                body = F.struct(*[(F.col(f) if f in cols else F.lit(None).cast("string")).alias(f) for f in ("ENTRYTYPE", *FIELDS)])
+                found.append(rows.select("entry_ref", F.lit(source).alias("source"), F.col("cand_pos").cast("bigint").alias("cand_pos"), body.alias("candidate")))
+        union = lambda ds: None if not ds else ds[0] if len(ds) == 1 else union([ds[0].unionByName(ds[1]), *ds[2:]])
+        return union(statuses), union(found)
 
-        Entries without a key, or with one that occurs twice, are invalid input.
-        """
+    def _results(self, valid: DataFrame, tables: Mapping[str, DataFrame], recorded: DataFrame | None) -> DataFrame:
+        """(entry_ref, source, rank, source_status, score, cand_pos, candidate) of every source in order."""
         s = self.settings
-        entries = materialize(entries)
-        valid = report.valid_keys(entries, "key")
-        found = None
-        for source, records in tables.items():
-            c = self.candidates(valid, source, records)
-            found = c if found is None else found.unionByName(c)
+        ranked = ranking.rank_sources(valid, {f: F.col(f) for f in FIELDS}, "entry_ref", ranking.sources(self.spark, s.sources))
+        statuses, found = self._answers(valid, tables, recorded)
+        answering = list(tables) if recorded is None else None
+        if statuses is None or found is None:
+            none = F.lit(None).cast("string")
+            return ranked.select("*", F.lit("skipped").alias("source_status"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("bigint").alias("cand_pos"), F.struct(*[none.alias(f) for f in ("ENTRYTYPE", *FIELDS)]).alias("candidate"))
         original = F.struct(*[F.col(f) for f in FIELDS])
-        scored = scoring.assess(found.join(valid.select("pos", original.alias("original")), "pos"), matched=s.matched, ambiguous=s.ambiguous)
-        chosen = ranking.select(scored.select("pos", "source", "cand_pos", "status", "score", "candidate"), ["pos", "source"], s.margin)
-        ranked = ranking.rank_sources(valid, {f: F.col(f) for f in FIELDS}, "pos", ranking.sources(self.spark, s.sources)).where(F.col("source").isin(*tables))
-        results = materialize(ranked.join(chosen, ["pos", "source"], "left").withColumn("source_status", F.coalesce("source_status", F.lit("no_match"))))
-        walked = ranking.consulted(results, "pos", s.stop_on_match)
-        out = ranking.outcomes(walked, "pos").join(results.select("pos", "source", "candidate"), ["pos", "source"], "left")
-        matched = out.where("status = 'verified'").join(valid.select("pos", "entrytype", *FIELDS), "pos")
+        scored = scoring.assess(found.join(valid.select("entry_ref", original.alias("original")), "entry_ref"), matched=s.matched, ambiguous=s.ambiguous, exact=s.exact)
+        chosen = ranking.select(scored.select("entry_ref", "source", "cand_pos", "status", "score", "candidate"), ["entry_ref", "source"], s.margin)
+        both = ranked.join(chosen, ["entry_ref", "source"], "left").join(statuses, ["entry_ref", "source"], "left")
+        if answering is not None:
+            silent = F.when(F.col("source").isin(*answering), "no_match").otherwise("skipped")
+        else:  # a recorded answer without candidates is no match; a source without an answer was not asked
+            heard = recorded.select(F.struct(*[F.col(c) for c in (*self.scope(recorded), "pos")]).alias("entry_ref"), "source", F.lit(True).alias("_heard"))
+            both = both.join(heard, ["entry_ref", "source"], "left")
+            silent = F.when(F.col("_heard") | F.col("source").isin(*tables), "no_match").otherwise("skipped")
+        return both.select("entry_ref", "source", "rank", F.coalesce("asked_status", "source_status", silent).alias("source_status"), "score", "cand_pos", "candidate")
+
+    def verify(self, entries: DataFrame, tables: Mapping[str, DataFrame], recorded: DataFrame | None = None) -> DataFrame:
+        """One row per entry: bucket, status, confidence, reason, source, decisions on the fields.
+
+        ``tables`` holds the records of each source (rec_id and its columns, or a payload);
+        ``recorded`` answers to single entries (pos, source, http_status, error, body). Entries
+        without a key, or with one that occurs twice, are invalid input and looked up nowhere, as are
+        entries with neither title nor identifier. Sources that are on but have no records are
+        skipped.
+        """
+        s = self.settings
+        scope = self.scope(entries)
+        named = self.named(entries)
+        searchable = report.valid_keys(named, "key", scope).where("_searchable")
+        results = materialize(self._results(searchable, tables, recorded))
+        walked = ranking.consulted(results, "entry_ref", s.stop_on_match)
+        out = ranking.outcomes(walked, "entry_ref").join(results.select("entry_ref", "source", "candidate"), ["entry_ref", "source"], "left")
+        verified = out.where("status = 'verified'").join(searchable.select("entry_ref", "entrytype", *FIELDS), "entry_ref")
+        norm = text.normalize if s.exact else text.normalize_native
         long = merge.decisions(
-            matched, ["pos"], {f: F.col(f) for f in FIELDS} | {"ENTRYTYPE": F.col("entrytype")}, {f: F.col(f"candidate.{f}") for f in ("ENTRYTYPE", *FIELDS)}, F.col("score"), s.auto_update
+            verified, ["entry_ref"], {f: F.col(f) for f in FIELDS} | {"ENTRYTYPE": F.col("entrytype")}, {f: F.col(f"candidate.{f}") for f in ("ENTRYTYPE", *FIELDS)}, F.col("score"), s.auto_update, norm
         )
-        changes = merge.merged(long, ["pos"])
-        joined = entries.select("pos", "key").join(out.drop("candidate"), "pos", "left").join(changes, "pos", "left")
-        bucket = (
-            F.when(F.col("status").isNull(), "invalid_input").when((F.col("status") == "verified") & (F.coalesce("n_meaningful", F.lit(0)) > 0), "updated").otherwise(F.col("status"))
+        joined = named.select("entry_ref", "key", "title", "_searchable", *[F.col(c) for c in (*scope, "pos")]).join(out.drop("candidate"), "entry_ref", "left").join(merge.merged(long, ["entry_ref"]), "entry_ref", "left")
+        duplicate = report.duplicate_keys(named, "key", scope).select(*scope, "key", F.lit(True).alias("_twice"))
+        joined = joined.join(duplicate, [*scope, "key"], "left")
+        unkeyed = F.trim(F.coalesce("key", F.lit(""))) == ""
+        invalid = unkeyed | F.coalesce("_twice", F.lit(False))
+        changed = (F.col("status") == "verified") & (F.coalesce("n_meaningful", F.lit(0)) > 0)
+        status = F.when(invalid, None).when(changed, "metadata_mismatch").otherwise(F.coalesce("status", F.lit("invalid_input")))
+        bucket = F.when(invalid, "invalid_input").when(changed, "updated").otherwise(status)
+        reason = (
+            F.when(unkeyed, "the entry has no key").when(invalid, "the key occurs more than once").when(~F.col("_searchable"), "the entry has neither a title nor an identifier")
+            .when(F.col("status") == "verified", "a source has a record of high confidence").when(F.col("status") == "ambiguous", "the candidates are ambiguous; nothing was changed")
+            .when(F.col("status") == "identifier_conflict", "an identifier of the entry belongs to another work").when(F.col("status") == "source_unavailable", "a source could not be asked, the lookup is incomplete")
+            .when(F.col("status") == "not_found", "no source that answered has the work").otherwise("no source could be asked for this entry")
         )
-        return joined.select("pos", "key", bucket.alias("bucket"), "status", F.coalesce("complete", F.lit(False)).alias("complete"), F.round("score", 4).alias("confidence"), F.col("source").alias("platform"), "changes", "n_applied", "n_meaningful", "providers")
+        platform = F.when(F.col("status") == "verified", F.col("source"))
+        full = joined.withColumns({"_status": status, "_bucket": bucket, "_reason": reason, "_platform": platform})
+        shown = {"bucket": "_bucket", "status": "_status", "reason": "_reason", "platform": "_platform"}
+        made = {"complete": F.coalesce("complete", F.lit(False)), "confidence": F.round("score", 4)}
+        return full.select(*scope, "pos", *[(made[c] if c in made else F.col(shown.get(c, c))).alias(c) for c in RESULT])
+
+    def first_match(self, entries: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """(scope, pos, source, candidate): asked by title only (the first source by DOI, too), the
+        best candidate of the first source in order that has one, whatever its status."""
+        scope = self.scope(entries)
+        blank = {f: F.lit("") for f in FIELDS if f not in ("title", "doi")}
+        e = self.named(entries.withColumns(blank))
+        by_doi = {k: v for k, v in tables.items() if k == "crossref"}
+        rest = {k: v for k, v in tables.items() if k != "crossref"}
+        titled = e.withColumns({"doi": F.lit(""), "_doi": F.lit("")})
+        parts = [self._results(x, t, None).where(F.col("source").isin(*t)) for x, t in ((e, by_doi), (titled, rest)) if t]
+        results = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        order = ranking.rank_sources(entries.withColumn("entry_ref", F.struct(*[F.col(c) for c in (*scope, "pos")])), {f: F.col(f) for f in FIELDS}, "entry_ref", ranking.sources(self.spark, self.settings.sources))
+        return ranking.first_match(results.drop("rank").join(order, ["entry_ref", "source"]), "entry_ref").select("entry_ref.*", "source", "candidate")
 
     def updated(self, entries: DataFrame, results: DataFrame) -> DataFrame:
-        """(pos, bibtex): every entry in its order, with the applied changes where there are any;
-        fields that no source knows stay as they are."""
-        j = entries.join(results.select("pos", "changes"), "pos", "left")
+        """(scope, pos, bibtex): every entry in its order, with the applied changes where there are
+        any; fields that no source knows stay as they are."""
+        scope = self.scope(entries)
+        j = entries.join(results.where("bucket = 'updated'").select(*scope, "pos", "changes"), [*scope, "pos"], "left")
         changed = {f: F.coalesce(F.col("changes")[f], F.col(f)) for f in FIELDS}
         kind = F.coalesce(F.col("changes")["ENTRYTYPE"], F.col("entrytype"))
-        return j.select("pos", bibtex.serialize(F.coalesce("key", F.lit("")), kind, changed, F.col("extra")).alias("bibtex"))
+        return j.select(*scope, "pos", bibtex.serialize(F.coalesce("key", F.lit("")), kind, changed, F.col("extra")).alias("bibtex"))
 
     def review(self, entries: DataFrame, results: DataFrame) -> DataFrame:
-        """(bucket_ord, pos, bibtex) of the entries that need a look, as they were given."""
-        wanted = report.review(results.select("pos", "bucket")).select("pos", "bucket_ord")
+        """(scope, bucket_ord, pos, bibtex) of the entries that need a look, as they were given."""
+        scope = self.scope(entries)
+        wanted = report.review(results.select(*scope, "pos", "bucket")).select(*scope, "pos", "bucket_ord")
         text_of = bibtex.serialize(F.coalesce("key", F.lit("")), F.col("entrytype"), {f: F.col(f) for f in FIELDS}, F.col("extra"))
-        return entries.join(wanted, "pos").select("bucket_ord", "pos", text_of.alias("bibtex"))
+        return entries.join(wanted, [*scope, "pos"]).select(*scope, "bucket_ord", "pos", text_of.alias("bibtex"))
 
-    def apply(self, path: str, entries: DataFrame, results: DataFrame, backup: bool = True) -> bool:
+    def explain(self, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, field, original, updated): the fields in which two tables of entries differ."""
+        form = lambda d: merge.long_form(d, keys, [c for c in d.columns if c not in keys])
+        return merge.differences(form(left), form(right), keys)
+
+    def rank(self, entries: DataFrame) -> DataFrame:
+        """(pos, source, rank): the order in which the sources are asked for each entry."""
+        fields = {f: F.col(f) for f in FIELDS if f in entries.columns}
+        return ranking.rank_sources(entries, fields, "pos", ranking.sources(self.spark, self.settings.sources))
+
+    def apply(self, path: str, entries: DataFrame, results: DataFrame, backup: str | None = "", encoding: str = "auto") -> bool:
         """Rewrite one reference list in place if a change applies; the old bytes are kept first.
 
         One file on the driver's disk by nature; whole tables are written with
         ``bibtex.write_text``. The encoding is the one that the file was read with, without adding
-        a mark that it did not have.
+        a mark that it did not have. ``backup`` names the copy (by default the path and ``.bak``);
+        null makes none.
         """
         if results.where(F.coalesce("n_applied", F.lit(0)) > 0).limit(1).count() == 0:
             return False
         with open(path, "rb") as f:
             raw = f.read()
-        _, encoding = bibtex.decode(raw)
-        if encoding == "utf-8-sig" and not raw.startswith(b"\xef\xbb\xbf"):
-            encoding = "utf-8"
-        if backup:
-            with open(f"{path}.bak", "wb") as f:
+        body, found = bibtex.decode(raw, bibtex.ENCODINGS if encoding == "auto" else (encoding,))
+        if found == "utf-8-sig" and not raw.startswith(b"\xef\xbb\xbf"):
+            found = "utf-8"
+        if backup is not None:
+            with open(backup or f"{path}.bak", "wb") as f:
                 f.write(raw)
-        rows = self.updated(entries, results).orderBy("pos").toLocalIterator()
-        newline = "\r\n" if raw.count(b"\r\n") * 2 > raw.count(b"\n") else "\n"
-        atomic_write(path, "\n".join(r["bibtex"] for r in rows), encoding or "utf-8", newline)
+        self.write_file(path, self.updated(entries, results), ["pos"], found or "utf-8", body or "")
         return True
 
+    @staticmethod
+    def write_file(path: str, rows: DataFrame, order: list[str], encoding: str = "utf-8", like: str = "") -> None:
+        """The ``bibtex`` texts of ``rows`` as one file, with the line ends of the text ``like``."""
+        newline = "\r\n" if like.count("\r\n") * 2 > like.count("\n") else "\n"
+        atomic_write(path, "\n".join(r["bibtex"] for r in rows.orderBy(*order).toLocalIterator()), encoding, newline)
+
     def labelled_pairs(self, path: str) -> DataFrame:
         """Labelled pairs of a JSON array: id, expected, original, candidate."""
         side = "struct<title: string, author: string, year: string, doi: string>"
         return self.spark.read.schema(f"id string, expected string, original {side}, candidate {side}").json(path, multiLine=True)
 
-    def doi_to_bibtex(self, doi: str, crossref: DataFrame) -> DataFrame:
-        """(bibtex) of the records with a DOI."""
-        hit = crossref.where(ids.doi("doi") == doi.lower())
+    def doi_to_bibtex(self, doi: str, crossref: DataFrame, key: str | None = None) -> DataFrame:
+        """(bibtex) of the first record with a DOI, which may be given in any form; ``key`` names the
+        entry, else a key is made."""
+        first = crossref.where(ids.doi("doi") == ids.doi(F.lit(doi))).orderBy("rec_id").limit(1)
         year = F.get(F.get(F.col("published")["date-parts"], F.lit(0)), F.lit(0)).cast("string")
-        key = ids.citation_key(F.concat(F.get("author", F.lit(0))["family"], F.lit(",")), year, F.get("title", F.lit(0)), F.col("doi"))
-        e = adapters.adapt(hit.withColumn("_key", key), "crossref", ["_key"])
+        made = F.lit(key) if key else ids.citation_key(F.get("author", F.lit(0))["family"], year, F.get("title", F.lit(0)), F.col("doi"))
+        e = adapters.adapt(first.withColumn("_key", made), "crossref", ["_key"])
         return e.select(bibtex.serialize(F.col("_key"), F.col("ENTRYTYPE"), {f: F.col(f) for f in e.columns if f not in ("_key", "ENTRYTYPE")}).alias("bibtex"))

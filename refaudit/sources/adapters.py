@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from refaudit.functions import text
 
 Entry = dict[str, Column]
-#: The fields of an entry, in the order they are written.
+#: The fields of an entry, in the order they are written.
 ENTRY_FIELDS = ("title", "author", "editor", "journal", "booktitle", "volume", "number", "pages", "year", "month", "publisher", "organization", "institution", "address", "edition", "chapter", "series", "note", "doi", "url", "eprint", "archiveprefix", "primaryclass", "pmid", "howpublished", "school")
 #: Entry types by the type names of the sources.
 TYPES = {
@@ -29,6 +29,10 @@ DDL = {
     "pubmed": "uid STRING, title STRING, authors ARRAY<STRUCT<name: STRING>>, pubdate STRING, fulljournalname STRING, source STRING, volume STRING, issue STRING, pages STRING, elocationid STRING, articleids ARRAY<STRUCT<idtype: STRING, value: STRING>>",
     "core": "title STRING, authors ARRAY<STRUCT<name: STRING>>, yearPublished INT, publishedDate STRING, journals ARRAY<STRING>, doi STRING, downloadUrl STRING",
     "biorxiv": "doi STRING, title STRING, authors STRING, date STRING, version STRING, category STRING, journal STRING, biorxiv_url STRING, preprint_url STRING",
+    "crossref": "type STRING, title ARRAY<STRING>, author ARRAY<STRUCT<given: STRING, family: STRING>>, published STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>, `published-print` STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>, `container-title` ARRAY<STRING>, volume STRING, issue STRING, page STRING, publisher STRING, DOI STRING",
+    "openalex": "id STRING, type STRING, title STRING, publication_year INT, doi STRING, authorships ARRAY<STRUCT<author: STRUCT<display_name: STRING>>>, primary_location STRUCT<source: STRUCT<display_name: STRING>>, biblio STRUCT<volume: STRING, issue: STRING, first_page: STRING, last_page: STRING>, host_organization STRUCT<display_name: STRING>",
+    "semantic_scholar": "paperId STRING, matchScore DOUBLE, title STRING, authors ARRAY<STRUCT<name: STRING>>, year INT, venue STRING, publicationTypes ARRAY<STRING>, journal STRUCT<name: STRING>, doi STRING, externalIds STRUCT<DOI: STRING, ArXiv: STRING, PubMed: STRING>",
+    "europe_pmc": "id STRING, source STRING, title STRING, authorString STRING, pubYear STRING, journalTitle STRING, journalVolume STRING, issue STRING, pageInfo STRING, doi STRING, pmid STRING, pmcid STRING",
     "arxiv": "id STRING, published STRING, title STRING, author ARRAY<STRUCT<name: STRING>>, primary_category STRUCT<_term: STRING>, journal_ref STRING, doi STRING",
 }
 
@@ -142,32 +146,46 @@ def arxiv(r: Callable[[str], Column], native: bool = False) -> Entry:
     """One feed entry; the id keeps its version and no DOI is made up."""
     journal = F.coalesce(text.present(r("journal_ref")), F.lit("arXiv"))
     return _finish({
-        "ENTRYTYPE": F.lit("article"), "title": text.field_value(F.replace(F.trim(r("title")), F.lit("\n"), F.lit(" ")), native=native), "author": _names(F.transform(r("author")["name"], F.trim)),
+        "ENTRYTYPE": F.lit("article"), "title": text.field_value(F.replace(F.trim(r("title")), F.lit("\n"), F.lit(" ")), native=native), "author": _names(F.transform(r("author")["name"], lambda n: F.trim(n))),
         "year": F.substring(F.trim(r("published")), 1, 4), "eprint": F.element_at(F.split(F.trim(r("id")), "/"), -1), "archiveprefix": F.when(r("id").isNotNull(), "arXiv"),
         "primaryclass": r("primary_category")["_term"], "journal": text.field_value(journal, native=native), "doi": r("doi"),
     })
 
 
 def biorxiv(r: Callable[[str], Column], native: bool = False) -> Entry:
-    """Authors at semicolons; the preprint address goes before the server's own."""
+    """Authors at semicolons, or a list of names or of objects with a name; the preprint address goes
+    before the server's own."""
+    raw = F.trim(r("authors"))  # a list is kept as its JSON text
+    objects = F.from_json(raw, "array<struct<name: string>>")["name"]
+    listed = F.when(raw.rlike(r"^\[\s*\{"), objects).otherwise(F.from_json(raw, "array<string>"))
+    names = F.when(raw.startswith("["), listed).otherwise(F.transform(F.split(raw, ";"), lambda n: F.trim(n)))
     return _finish({
-        "ENTRYTYPE": F.lit("article"), "title": text.field_value(r("title"), native=native), "author": _names(F.transform(F.split(r("authors"), ";"), F.trim)), "year": _four_digits(r("date")),
+        "ENTRYTYPE": F.lit("article"), "title": text.field_value(r("title"), native=native), "author": _names(names), "year": _four_digits(r("date")),
         "journal": text.field_value(F.coalesce(text.present(r("journal")), F.lit("bioRxiv")), native=native), "doi": r("doi"), "url": F.coalesce(text.present(r("preprint_url")), r("biorxiv_url")),
         "note": F.when(text.present(r("version")).isNotNull(), F.concat(F.lit("Version "), r("version"))), "keywords": r("category"),
     })
 
 
 ADAPTERS: dict[str, Callable[..., Entry]] = {"crossref": crossref, "openalex": openalex, "semantic_scholar": semantic_scholar, "europe_pmc": europe_pmc, "dblp": dblp, "pubmed": pubmed, "core": core, "arxiv": arxiv, "biorxiv": biorxiv}
-#: Columns of the tables that go by another name than in the payload.
+#: Columns of the tables that go by another name than in the adapters, and the same for payloads.
 RENAMED = {"crossref": {"type": "work_type"}, "openalex": {"type": "work_type"}, "semantic_scholar": {"year": "pub_year"}}
-#: Identifier kinds that a source is asked by, in order, and whether an unknown
-#: identifier leads on to a title search.
+RENAMED_JSON = {"crossref": {"container_title": "container-title", "published_print": "published-print"}}
+#: Identifier kinds that a source is asked by, in order; whether an unknown identifier
+#: leads on to a title search; how many records an identifier yields at most.
 ACCESS = {
-    "crossref": (["doi"], True), "openalex": (["doi"], False), "semantic_scholar": (["doi", "arxiv", "pmid"], True), "pubmed": (["pmid", "pmcid", "doi"], False),
-    "europe_pmc": (["pmid", "pmcid", "doi"], False), "arxiv": (["arxiv"], False), "biorxiv": (["doi"], False), "dblp": ([], True), "core": ([], True),
+    "crossref": (["doi"], True, 1), "openalex": (["doi"], False, 5), "semantic_scholar": (["doi", "arxiv", "pmid"], True, 1), "pubmed": (["pmid", "pmcid", "doi"], False, 5),
+    "europe_pmc": (["pmid", "pmcid", "doi"], False, 5), "arxiv": (["arxiv"], False, 1), "biorxiv": (["doi"], False, 5), "dblp": ([], True, 5), "core": ([], True, 5),
 }
 
 
+def register(name: str, adapter: Callable[..., Entry], kinds: list[str] = [], falls_back: bool = True, limit: int = 5, ddl: str | None = None) -> None:  # noqa: B006
+    """Add a source: its adapter, the identifier kinds it is asked by, whether an unknown identifier
+    leads on to a title search, its limit, and the schema of its payloads if it has any."""
+    ADAPTERS[name], ACCESS[name] = adapter, (list(kinds), falls_back, limit)
+    if ddl:
+        DDL[name] = ddl
+
+
 def adapt(df: DataFrame, source: str, keys: list[str], native: bool = False) -> DataFrame:
     """(keys, entry fields) of a table of one source's records."""
     names = RENAMED.get(source, {})
@@ -175,16 +193,26 @@ def adapt(df: DataFrame, source: str, keys: list[str], native: bool = False) ->
     return df.select(*keys, *[v.alias(k) for k, v in entry.items()])
 
 
+def of_struct(df: DataFrame, source: str, keys: list[str], struct: str, native: bool = False) -> DataFrame:
+    """(keys, entry fields) of a parsed payload; a null one gives nulls."""
+    names = RENAMED_JSON.get(source, {})
+    entry = ADAPTERS[source](lambda c: F.col(struct)[names.get(c, c)], native)
+    return df.select(*keys, *[v.alias(k) for k, v in entry.items()])
+
+
 def adapt_json(df: DataFrame, source: str, keys: list[str], payload: str = "payload", native: bool = False) -> DataFrame:
     """As :func:`adapt`, for raw JSON payloads; a payload that is no object gives nulls."""
-    parsed = df.select(*keys, F.from_json(payload, DDL[source]).alias("_p"))
-    entry = ADAPTERS[source](lambda c: F.col("_p")[c], native)
-    return parsed.select(*keys, *[v.alias(k) for k, v in entry.items()])
+    return of_struct(df.select(*keys, F.from_json(payload, DDL[source]).alias("_p")), source, keys, "_p", native)
 
 
 def adapt_atom(df: DataFrame, keys: list[str], payload: str = "payload", native: bool = False) -> DataFrame:
     """arXiv entries of raw Atom XML, one ``<entry>`` element a row."""
     plain = F.regexp_replace(F.col(payload), r"<(/?)\w+:", "<$1")
-    parsed = df.select(*keys, F.from_xml(plain, DDL["arxiv"]).alias("_p"))
-    entry = arxiv(lambda c: F.col("_p")[c], native)
-    return parsed.select(*keys, *[v.alias(k) for k, v in entry.items()])
+    return of_struct(df.select(*keys, F.from_xml(plain, DDL["arxiv"]).alias("_p")), "arxiv", keys, "_p", native)
+
+
+def records_of(df: DataFrame, source: str, keys: list[str], native: bool = False) -> DataFrame:
+    """(keys, entry fields) of a table of records, or of raw payloads if it has that column."""
+    if "payload" not in df.columns:
+        return adapt(df, source, keys, native)
+    return adapt_atom(df, keys, native=native) if source == "arxiv" else adapt_json(df, source, keys, native=native)

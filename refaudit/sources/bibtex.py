@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refaudit.functions import identifiers as ids
+from refaudit.functions import text
 from refaudit.sources.adapters import ENTRY_FIELDS
 
 ENTRY_TYPE = pa.struct([("key", pa.string()), ("entrytype", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
@@ -106,6 +108,11 @@ class _Scanner:
                 if c in ("}", ")", ""):
                     self.i += 1
                     break
+                if c == "{":  # a group where a field should stand is passed over
+                    self.i += 1
+                    if self.braced("}") is None:
+                        break
+                    continue
                 start = self.i
                 field = self.name().lower()
                 self.blank()
@@ -125,9 +132,9 @@ class _Scanner:
                 yield {"key": key, "entrytype": kind, "fields": list(fields.items())}
 
 
-def parse(text: str | None) -> list[dict]:
+def parse(source: str | None) -> list[dict]:
     """The entries of a text in their order; what is not an entry is skipped."""
-    return list(_Scanner(text).entries()) if text and "@" in text else []
+    return list(_Scanner(source).entries()) if source and "@" in source else []
 
 
 def decode(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple[str | None, str | None]:
@@ -153,14 +160,34 @@ def scan(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     return parsed.select(*keys, F.posexplode("entries").alias("pos", "e")).select(*keys, "pos", "e.*")
 
 
+def first_entry(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, ENTRYTYPE, fields): the first entry of each text, its values in one pair of braces.
+
+    Doubly braced values are collapsed first; a text that then has no entry is read as it is, and
+    one without any entry gives a ``misc`` without fields.
+    """
+    both = df.select(*keys, F.array(text.collapse_braces(F.col(text_col)), F.col(text_col)).alias("_t")).select(*keys, F.posexplode("_t").alias("_n", "_t"))
+    got = scan(both, [*keys, "_n"], "_t").where("pos = 0").groupBy(*keys).agg(F.min_by(F.struct("entrytype", "fields"), "_n").alias("_e"))
+    named = df.select(*keys).join(got, keys, "left")
+    value = lambda v: F.concat(F.lit("{"), F.btrim(F.regexp_replace(F.regexp_replace(ids.strip(v), r"\{+", "{"), r"\}+", "}"), F.lit("{}")), F.lit("}"))
+    fields = F.transform_values(F.map_filter("_e.fields", lambda k, v: ids.strip(v) != ""), lambda k, v: value(v))
+    return named.select(*keys, F.coalesce("_e.entrytype", F.lit("misc")).alias("ENTRYTYPE"), F.coalesce(fields, F.create_map().cast("map<string,string>")).alias("fields"))
+
+
 def read_files(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
-    """(path, encoding, newline, pos, key, entrytype, fields) of reference list files."""
+    """(path, encoding, newline, pos, key, entrytype, fields) of reference list files.
+
+    A file that none of the encodings fits fails the job: it must not pass for an empty list.
+    """
     wanted = ENCODINGS if encoding == "auto" else (encoding,)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(p, *decode(raw, wanted)) for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            newline = ["\r\n" if t and t.count("\r\n") * 2 > t.count("\n") else "\n" for _, t, _ in out]
+            for p, t, _ in out:
+                if t is None:
+                    raise ValueError(f"{p} is in none of the encodings {', '.join(wanted)}")
+            newline = ["\r\n" if t.count("\r\n") * 2 > t.count("\n") else "\n" for _, t, _ in out]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1, 2)] + [pa.array(newline, pa.string())], ["path", "text", "encoding", "newline"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string, encoding string, newline string")
@@ -170,11 +197,11 @@ def read_files(spark: SparkSession, path: str, encoding: str = "auto") -> DataFr
 def serialize(key: Column, entrytype: Column, fields: dict[str, Column], extra: Column | None = None) -> Column:
     """Text of an entry: known fields in their fixed order, then the map of other fields by name;
     blank fields are left out."""
-    line = lambda k, v: F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(f"  {k} = {{"), F.trim(v), F.lit("}")))
+    line = lambda k, v: F.when(ids.strip(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(f"  {k} = {{"), ids.strip(v), F.lit("}")))
     known = [line(k, fields[k].cast("string")) for k in ENTRY_FIELDS if k in fields] + [line(k, fields[k].cast("string")) for k in sorted(fields) if k not in ENTRY_FIELDS]
     lines = F.array_compact(F.array(*known))
     if extra is not None:
-        more = F.transform(F.array_sort(F.map_entries(F.map_filter(extra, lambda k, v: F.trim(F.coalesce(v, F.lit(""))) != ""))), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = {"), F.trim(e["value"]), F.lit("}")))
+        more = F.transform(F.array_sort(F.map_entries(F.map_filter(extra, lambda k, v: ids.strip(F.coalesce(v, F.lit(""))) != ""))), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = {"), ids.strip(e["value"]), F.lit("}")))
         lines = F.concat(lines, F.coalesce(more, F.array().cast("array<string>")))
     body = F.array_join(F.concat(F.array(F.concat(F.lit("@"), entrytype, F.lit("{"), key)), lines), ",\n")
     return F.replace(F.concat(body, F.lit("\n}\n")), F.lit("arXiv (Cornell University)"), F.lit("arXiv"))

@@ -1,7 +1,8 @@
 """Incremental verification: new entries stream in, each micro-batch is verified on its own.
 
-The source tables are read as they are at each batch. Entries are deduplicated by key within the
-watermark, so that a redelivered entry is verified once.
+Entries are deduplicated by key within the watermark, so that a redelivered entry is verified once.
+The sources are best given prepared (``Engine.prepare``, written as tables): a batch then reads their
+indexes and adapts nothing.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ def dedup(stream: DataFrame, key: str = "key", at: str = "arrived_at", delay: st
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def verify_stream(stream: DataFrame, engine: Engine, tables: Callable[[], dict[str, DataFrame]], out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def verify_stream(stream: DataFrame, engine: Engine, tables: Callable[[], dict[str, DataFrame]], out: str, checkpoint: str, once: bool = False, at: str | None = None) -> StreamingQuery:
     """Verify a stream of entries and append the results to ``out``, exactly once per batch: each
-    batch writes its own folder, and writing it again replaces it."""
+    batch writes its own folder, and writing it again replaces it. ``at`` names the time of arrival by
+    which redelivered entries are dropped; without it every row is verified."""
 
     def batch(df: DataFrame, number: int) -> None:
         engine.verify(df, tables()).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = (dedup(stream, at=at) if at else stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
