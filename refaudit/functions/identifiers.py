@@ -154,8 +154,8 @@ def json_text(c: Column) -> Column:
     short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
     table = F.create_map(*[F.lit(x) for kv in short.items() for x in kv])
     units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), r"(.{4})", r"\\u$1")
-    one = lambda ch: F.coalesce(table[ch], F.when(ch.rlike(r"^[\x20-\x7e\x7f]$"), ch).otherwise(units(ch)))
-    body = F.when(c.rlike(r'[^\x20-\x7f]|["\\]'), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    one = lambda ch: F.coalesce(table[ch], F.when(ch.rlike(r"^[\x20-\x7e]$"), ch).otherwise(units(ch)))
+    body = F.when(c.rlike(r'[^\x20-\x7e]|["\\]'), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

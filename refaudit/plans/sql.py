@@ -69,7 +69,7 @@ def json_text(x: str) -> str:
     """A JSON string in ASCII; characters beyond the first plane as two surrogates."""
     high = r"printf('\u%04x\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024)"
     short = r"""WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' WHEN c = chr(12) THEN '\f'"""
-    one = rf"CASE {short} WHEN unicode(c) BETWEEN 32 AND 127 THEN c WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c)) ELSE {high} END"
+    one = rf"CASE {short} WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c)) ELSE {high} END"
     letters = f"list_transform(range(1, length({x}) + 1), lambda i: substr({x}, i, 1))"
     return f"""('"' || array_to_string(list_transform({letters}, lambda c: {one}), '') || '"')"""
 
