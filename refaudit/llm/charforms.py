@@ -9,7 +9,7 @@ table of pairs; no string function is called for a row.
 Look-alike letters are decided by their surroundings: a letter of another script is one if its
 word also has letters of the value's main script, or if it stands alone as a capital or is made of
 look-alikes only while the value is in the other script. Single Greek letters that serve as
-symbols stay.
+symbols stay; in text all of capitals, unless the Latin letter they look like is a word by itself.
 
 Defined results: null gives null and is not affected; empty text stays. Full-width punctuation and
 the ideographic space are ordinary beside ideographs or kana.
@@ -38,6 +38,8 @@ LOOK_ALIKE = {
 }
 #: Signs that look like an ordinary one whatever stands beside them.
 ALWAYS = {"ɡ": "g", "‐": "-", "‑": "-", "⁃": "-", "˗": "-", "﹘": "-", "ı̇": "i", "ꞌ": "'", "ʻ": "'", "ǃ": "!", "⁄": "/", "∕": "/", "։": ":", "ː": ":", "᠆": "-"}
+#: Letters that are words by themselves in languages of Latin script.
+ALONE = "AEIOUWYZ"
 #: Plain str.translate table of the look-alikes, for callers that need a rough fold of a string.
 FOLD = {ord(k): v for k, v in LOOK_ALIKE.items()}
 LATIN, CYRILLIC, GREEK, ARMENIAN, HAN, OTHER = range(1, 7)
@@ -54,6 +56,8 @@ def tables() -> dict[str, np.ndarray]:
     wide = np.zeros(SIZE, bool)  # full-width punctuation
     upper = np.zeros(SIZE, bool)
     lower = np.zeros(SIZE, bool)
+    rank = np.zeros(SIZE, np.uint8)  # combining class
+    apart: dict[int, list[int]] = {}  # full canonical decompositions
     target = np.arange(SIZE, dtype=np.uint32)
     more: dict[int, list[int]] = {}
     pairs: dict[tuple[int, int], int] = {}
@@ -73,6 +77,7 @@ def tables() -> dict[str, np.ndarray]:
                 target[o] = 32
                 continue
             mark[o] = cat[0] == "M"
+            rank[o] = unicodedata.combining(c)
             if cat[0] == "L":
                 name = unicodedata.name(c, "")
                 script[o] = next((s for p, s in (("LATIN", LATIN), ("FULLWIDTH LATIN", LATIN), ("CYRILLIC", CYRILLIC), ("GREEK", GREEK), ("ARMENIAN", ARMENIAN), ("CJK", HAN), ("HIRAGANA", HAN), ("KATAKANA", HAN)) if name.startswith(p)), OTHER)
@@ -92,6 +97,7 @@ def tables() -> dict[str, np.ndarray]:
             else:
                 parts = [int(x, 16) for x in form.split()]
                 to = unicodedata.normalize("NFC", c)
+                apart[o] = [ord(x) for x in unicodedata.normalize("NFD", c)]
                 if len(parts) == 1 and to != c:
                     target[o] = ord(to)
                 elif len(parts) == 2 and to == c:
@@ -106,10 +112,13 @@ def tables() -> dict[str, np.ndarray]:
         like[ord(k)] = ord(v)
         if script[ord(k)] == CYRILLIC:
             back[ord(v)] = ord(k)
+    alone = np.zeros(SIZE, bool)
+    alone[[ord(x) for x in ALONE]] = True
     key = np.array([a << 21 | b for a, b in pairs], np.int64)
     order = np.argsort(key)
     return {
-        "script": script, "unseen": unseen, "mark": mark, "space": space, "wide": wide, "upper": upper, "lower": lower, "target": target, "like": like, "back": back,
+        "script": script, "unseen": unseen, "mark": mark, "space": space, "wide": wide, "upper": upper, "lower": lower, "target": target, "like": like, "alone": alone, "back": back,
+        "rank": rank, "apart": np.array(sorted(apart), np.uint32), "apart_to": np.array([(apart[k] + [0] * 4)[:4] for k in sorted(apart)], np.uint32),
         "pair": key[order], "composed": np.array(list(pairs.values()), np.uint32)[order],
         "long": np.array(sorted(more), np.uint32), "long_to": np.array([more[k] + [0] * (4 - len(more[k])) for k in sorted(more) if len(more[k]) <= 4], np.uint32) if all(len(v) <= 4 for v in more.values()) else np.array([(more[k] + [0] * 24)[:24] for k in sorted(more)], np.uint32),
     }
@@ -135,6 +144,87 @@ def strings(cp: np.ndarray, row: np.ndarray, n: int, nulls: np.ndarray) -> pa.Ar
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(body), valid).cast(pa.string())
 
 
+def expand(cp: np.ndarray, which: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points with those of ``which`` replaced by the sequences in the rows of ``to``, source of
+    each, place within its sequence); a sequence ends at the first 0."""
+    size = np.ones(len(cp), np.int64)
+    size[which] = (to > 0).sum(1)
+    start = np.cumsum(size) - size
+    src = np.repeat(np.arange(len(cp)), size)
+    place = np.arange(len(src)) - start[src]
+    line = np.full(len(cp), -1)
+    line[which] = np.arange(len(which))
+    replaced = line[src] >= 0
+    new = cp[src].copy()
+    new[replaced] = to[line[src[replaced]], place[replaced]]
+    return new, src, place
+
+
+def composed(cp: np.ndarray, row: np.ndarray, n: int, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points with marks in canonical order and joined to their base, row of each, whether a
+    row changed). Bases that have marks are taken apart first; syllables of Hangul are put together."""
+    same_row = np.append(False, row[1:] == row[:-1])
+    follows = t["mark"][cp] & same_row
+    jamo = (cp >= 0x1100) & (cp < 0x1200)
+    if not follows.any() and not jamo.any():
+        return cp, row, np.zeros(n, bool)
+    before, before_row = cp, row
+    touched = np.flatnonzero(follows | np.append(follows[1:], False))
+    k = np.searchsorted(t["apart"], cp[touched]).clip(max=len(t["apart"]) - 1)
+    ok = t["apart"][k] == cp[touched]
+    cp, src, _ = expand(cp, touched[ok], t["apart_to"][k[ok]])
+    row = row[src]
+    # a segment is a base with the marks after it, stably sorted by their class
+    rank = t["rank"][cp].astype(np.int64)
+    rank[np.append(True, row[1:] != row[:-1])] = 0  # a mark at the start is its own base
+    segment = np.cumsum(rank == 0) - 1
+    order = np.lexsort((rank, segment))
+    cp, rank = cp[order], rank[order]
+    first = np.flatnonzero(rank == 0)
+    size = np.diff(np.append(first, len(cp)))
+    base, last, keep = cp[first].copy(), np.zeros(len(first), np.int64), np.ones(len(cp), bool)
+    alive = np.flatnonzero(size > 1)
+    place = 1
+    while len(alive):
+        at = first[alive] + place
+        key = base[alive].astype(np.int64) << 21 | cp[at]
+        k = np.searchsorted(t["pair"], key).clip(max=len(t["pair"]) - 1)
+        joins = (t["pair"][k] == key) & (last[alive] < rank[at])
+        base[alive[joins]] = t["composed"][k[joins]]
+        keep[at[joins]] = False
+        last[alive[~joins]] = rank[at[~joins]]
+        place += 1
+        alive = alive[size[alive] > place]
+    cp = cp.copy()
+    cp[first] = base
+    cp, row = cp[keep], row[keep]
+    # bases that join the base before them: spacing marks, Hangul vowels and final consonants
+    while len(cp) > 1:
+        beside = (row[1:] == row[:-1]) & (t["rank"][cp[1:]] == 0)
+        a, b = cp[:-1].astype(np.int64), cp[1:].astype(np.int64)
+        at = np.flatnonzero(beside & t["mark"][cp[1:]])
+        k = np.searchsorted(t["pair"], a[at] << 21 | b[at]).clip(max=len(t["pair"]) - 1)
+        ok = t["pair"][k] == (a[at] << 21 | b[at])
+        to = np.zeros(len(a), np.int64)
+        to[at[ok]] = t["composed"][k[ok]]
+        lv = beside & (a >= 0x1100) & (a <= 0x1112) & (b >= 0x1161) & (b <= 0x1175)
+        to[lv] = 0xAC00 + ((a[lv] - 0x1100) * 21 + b[lv] - 0x1161) * 28
+        lvt = beside & (a >= 0xAC00) & (a <= 0xD7A3) & ((a - 0xAC00) % 28 == 0) & (b >= 0x11A8) & (b <= 0x11C2)
+        to[lvt] = a[lvt] + b[lvt] - 0x11A7
+        at = np.flatnonzero(to)
+        at = at[np.append(True, np.diff(at) > 1)] if len(at) else at
+        if not len(at):
+            break
+        cp[at] = to[at]
+        keep = np.ones(len(cp), bool)
+        keep[at + 1] = False
+        cp, row = cp[keep], row[keep]
+    changed = np.bincount(before_row, minlength=n) != np.bincount(row, minlength=n)
+    i, j = ~changed[before_row], ~changed[row]
+    changed[row[j][before[i] != cp[j]]] = True
+    return cp, row, changed
+
+
 def canonical(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the values in one consistent form, whether each had characters that only look ordinary)."""
     t = tables()
@@ -149,22 +239,8 @@ def canonical(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     note(gone)
     cp, row = cp[~gone], row[~gone]
     # marks beside their base
-    while len(cp) > 1:
-        at = np.flatnonzero(t["mark"][cp[1:]] & (row[1:] == row[:-1]))
-        key = cp[at].astype(np.int64) << 21 | cp[at + 1]
-        k = np.searchsorted(t["pair"], key).clip(max=len(t["pair"]) - 1)
-        ok = t["pair"][k] == key
-        at, k = at[ok], k[ok]
-        if not len(at):
-            break
-        fresh = np.append(True, np.diff(at) > 1)
-        at, k = at[fresh], k[fresh]
-        note(at)
-        cp = cp.copy()
-        cp[at] = t["composed"][k]
-        keep = np.ones(len(cp), bool)
-        keep[at + 1] = False
-        cp, row = cp[keep], row[keep]
+    cp, row, changed = composed(cp, row, n, t)
+    hit |= changed
     # points that stand for others
     ordinary = (t["wide"][cp] | (cp == 0x3000)) & han[row]
     new = np.where(ordinary, cp, t["target"][cp])
@@ -173,12 +249,7 @@ def canonical(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
         k = np.searchsorted(t["long"], cp).clip(max=len(t["long"]) - 1)
         is_long = (t["long"][k] == cp) & ~ordinary
         if is_long.any():
-            to = t["long_to"][k]
-            size = np.where(is_long, (to > 0).sum(1), 1)
-            start = np.cumsum(size) - size
-            src = np.repeat(np.arange(len(cp)), size)
-            off = np.arange(len(src)) - start[src]
-            new = np.where(is_long[src], to[src, np.minimum(off, to.shape[1] - 1)], new[src])
+            new, src, _ = expand(new, np.flatnonzero(is_long), t["long_to"][k[is_long]])
             row = row[src]
     cp = new
     # look-alike letters
@@ -202,26 +273,16 @@ def canonical(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
         mixed = (latin > 0) & (foreign > 0)
         # a value in Latin letters: look-alikes in mixed words, and words of look-alikes only
         in_latin = (v_latin[wrow] + 0.0 >= v_cyr[wrow]) & (v_pure_cyr[wrow] == 0) | (latin > foreign)
-        has_lower = np.bincount(row, weights=t["lower"][cp] & (s == LATIN), minlength=n) > 0
         single = (foreign == 1) & (latin == 0)
         sign = single & (s[first] == GREEK)
         before = np.where(first > 0, cp[np.maximum(first - 1, 0)], 32)
         after = np.where(first + 1 < len(cp), cp[np.minimum(first + 1, len(cp) - 1)], 32)
         capital = t["upper"][cp[first]]
         hyphen = (before == 45) | (after == 45)
-        led = np.zeros(m, bool)  # a symbol follows a word that introduces it: WITH, TNF
-        prev = np.arange(m) - 1
-        if m > 1:
-            size = np.diff(np.append(first, len(cp)))
-            text4 = np.array([0x57, 0x49, 0x54, 0x48]), np.array([0x54, 0x4E, 0x46])
-            for text in text4:
-                start = first[np.maximum(prev, 0)]
-                ok = (prev >= 0) & (wrow[np.maximum(prev, 0)] == wrow) & (start + len(text) < len(cp)) & (first - start == len(text) + 1)
-                for i, x in enumerate(text):
-                    ok &= (cp[np.minimum(start + i, len(cp) - 1)] & ~np.uint32(32)) == x
-                led |= ok
-            del size
-        symbol = sign & (~capital | hyphen | (~has_lower[wrow] & led))
+        # in capitals throughout, one that stands alone is a symbol, too, unless the Latin letter it
+        # looks like is a word or it is an initial
+        has_lower = np.bincount(row, weights=t["lower"][cp] & (s == LATIN), minlength=n) > 0
+        symbol = sign & (~capital | hyphen | (~has_lower[wrow] & (after != 46) & ~t["alone"][t["like"][cp[first]]]))
         whole = (latin == 0) & (foreign > 0) & (alike == foreign) & ~symbol & (v_pure_latin[wrow] > 0) & (v_pure_cyr[wrow] == 0)
         to_latin = (mixed & in_latin) | whole
         to_cyr = mixed & ~in_latin
