@@ -326,7 +326,7 @@ def found(cases: DataFrame, openalex: DataFrame) -> DataFrame:
     names = openalex.select(F.col("rec_id").alias("row_id"), F.lit("display_name").alias("field_name"), F.explode("authorships.author.display_name").alias("text")).where("text is not null")
     odd = r"[^\x20-\x7e]"  # plain ASCII has nothing to find
     seen = normalize(titles.where(F.col("text").rlike(odd)).withColumn("raw", F.col("text")), ["text"], ["row_id", "field_name", "raw"]).where("text_affected")
-    known = mojibake.learn(cases.select(F.col("original.title").alias("v")).where("v is not null"))
+    known = mojibake.of_cases(cases)
 
     @F.pandas_udf("boolean")
     def garbled(s):

@@ -1,12 +1,17 @@
 """Text that was decoded with a wrong code page: finding it and restoring it.
 
 A wrong code page turns each letter of a value into a fixed sequence of other characters, so a
-misread value is a substitution cipher whose key belongs to the code page it went through, its
-source. The operator cuts values into cipher units by the byte structure they show under a source,
-counts every unit with its neighbours over the whole corpus, and learns by expectation-maximization
-whether a unit stands for the letter that its bytes give, or is ordinary text, judged by the letter
-bigrams of the clean values. The learned mapping is then applied unit by unit; units of a
-multi-byte page (gb18030) are decided by decoding alone. Twice misread text is restored in turns.
+misread value is a substitution cipher whose key belongs to the swap of code pages that it went
+through, its source. The operator cuts values into cipher units (the characters that can come from
+the bytes of one letter), counts every unit with its neighbours over the whole corpus, and learns by
+expectation-maximization against the letter bigrams of the clean values, for each source, how often
+a unit is a cipher at all and which letter it stands for. The mapping starts unknown: every letter
+that a code page can change (all but ASCII) is equally likely, and what the bytes of the unit give
+counts as one more observation. A unit is a cipher if the learned letter is that of its bytes, or if
+the letter of its bytes fits the neighbours on its own (rare letters, and the first turn of twice
+misread text). It is replaced by the letter of its bytes; swaps of single-byte pages are
+applied by ``str.translate``, others unit by unit. Units of a multi-byte page (gb18030) are decided
+by decoding alone. Twice misread text is restored in turns.
 
 Letters that were lost (replacement characters, or question marks inside words) cannot be
 restored; such values are found but keep the lost places.
@@ -33,15 +38,21 @@ from pyspark.sql import functions as F
 from refaudit.session import materialize
 
 #: Code pages that UTF-8 text may have been read with. Latin-1 fills the bytes that
-#: cp1252 leaves undefined, as browsers do. Pages whose upper half is all letters of one script
-#: (cp866, koi8-r) are not among them: their units can't be told from words of that script.
+#: cp1252 leaves undefined, as browsers do.
 PAGES = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250")
 WIDE_PAGE = "gb18030"
-#: Words that open a question.
-ASKING = frozenset("can could do does did is are was were has have how what why when where which who whose should will would may must".split())
+#: Words that open a question, in the languages of Latin and Cyrillic script.
+ASKING = frozenset(
+    "can could do does did is are was were has have how what why when where which who whose should will would may must "
+    "comment pourquoi quand qui que quel quelle quels quelles est wie was warum wann wo wer welche welcher welches kann sind "
+    "cómo qué quién cuándo dónde cuál por come perché quando dove chi quale como quem onde qual hoe wat waarom wanneer waar wie welke "
+    "hur vad varför när var vem vilken jak co dlaczego kiedy gdzie kto czy quo quid quis cur ubi как что почему когда где кто".split()
+)
 ROUNDS = 25
 #: A unit is read as a cipher when the mapping gives its letter at least this probability.
 SURE = 0.5
+#: Observations that the bytes of a unit count for.
+BYTES = 1.0
 
 
 def _page_chars(page: str) -> list[str]:
@@ -63,8 +74,16 @@ def _page(page: str) -> tuple[re.Pattern, dict[str, int]]:
     return re.compile(f"{some(0xC3, 0xDF)}{rest}|{re.escape(chars[0xC2])}{some(0x80 if page in ("cp1252", "latin-1") else 0xA0, 0xBF)}|{some(0xE0, 0xEF)}{rest}{{2}}|{some(0xF0, 0xF4)}{rest}{{3}}"), {c: i for i, c in enumerate(chars)}
 
 
-#: A single-byte page read as another: every letter of a word is then a high Latin one.
-SWAP, SWAP_RUN = "cp1251>cp1252", re.compile(r"[\u00c0-\u00ff\u00a8\u00b8]{3,}|(?<=[\u00c0-\u00ff] )[\u00c0-\u00ff]{1,2}(?= [\u00c0-\u00ff])")
+CYRILLIC_PAGES = ("cp1251", "koi8-r", "cp866")
+#: What shows that a value is Cyrillic text of one page read with another: runs of high Latin
+#: letters, letters in the wrong case, signs and box drawings among letters.
+LATIN_RUN = re.compile(r"[\u00c0-\u00ff\u00a8\u00b8\u00a3\u00b3]{3,}|(?<=[\u00c0-\u00ff] )[\u00c0-\u00ff]{1,2}(?= [\u00c0-\u00ff])")
+WRONG_CASE = re.compile(r"(?<![\u0400-\u04ff])[\u0430-\u044f\u0451][\u0410-\u042f\u0401]{2,}")
+SIGNS = re.compile(r"[\u2500-\u25a0](?=[\u0430-\u044f\u2500-\u25a0])|(?<=[\u0430-\u043f\u0410-\u041f])[\u00a0\u00a4-\u00b1\u040e\u045e\u0402\u0403\u2018-\u2022](?=[\u0430-\u043f\u00a0-\u00b1])")
+#: Frequent Cyrillic letters, by which one of several readings is preferred.
+FREQUENT = frozenset("оеаинтср")
+#: Latin text of one byte a letter, read with a page of the DOS era: signs between letters.
+DOS_PAGES = ("cp437", "cp850")
 ANY_HIGH = re.compile(r"[^\x00-\x7f]")
 WIDE_RUN = re.compile(r"[⺀-鿿가-퟿豈-﫿＀-￯€-]+[\x40-\x7e]?")
 ESCAPES = re.compile(r"&[A-Za-z]{2,8};|&#x?[0-9A-Fa-f]+;")
@@ -88,6 +107,46 @@ def letter_class(c: str) -> str:
     return c.lower()[:1] if not c.isspace() else " "
 
 
+@lru_cache(maxsize=None)
+def swap(written: str, used: str) -> dict[str, str]:
+    """Letter by character for text of one single-byte page read with another."""
+    wrong, right = _page_chars(used), _page_chars(written)
+    return {wrong[b]: right[b] for b in range(0x80, 0x100) if right[b].isalpha() and wrong[b] != right[b]}
+
+
+@lru_cache(maxsize=None)
+def _dos(page: str) -> re.Pattern:
+    odd = "".join(re.escape(c) for c, to in swap("cp1252", page).items() if c != "\xad" and (not c.isalpha() or "\u0370" <= c <= "\u03ff" or c == "ⁿ"))
+    return re.compile(f"(?<=[A-Za-z])[{odd}](?=[a-z])|(?<![\\w{odd}])[{odd}](?=[a-z]{{3}})|(?<=[a-z]{{3}})[{odd}](?![\\w{odd}])")
+
+
+def swapped(text: str) -> list[tuple[int, int, str, str]]:
+    """Units of text of a single-byte page read with another one."""
+    tries = []
+    if LATIN_RUN.search(text):
+        places = [i for m in LATIN_RUN.finditer(text) for i in range(m.start(), m.end())]
+        tries += [(w, "cp1252", places) for w in CYRILLIC_PAGES[:2]]
+    if len(WRONG_CASE.findall(text)) > 1 or len(SIGNS.findall(text)) > 2:
+        tries += [(w, u, range(len(text))) for w in CYRILLIC_PAGES for u in CYRILLIC_PAGES if w != u]
+    best, score = [], 0.0
+    for written, used, places in tries:
+        table = swap(written, used)
+        found = [(i, i + 1, f"{written}>{used}", table[text[i]]) for i in places if text[i] in table]
+        words = "".join(x[3] for x in found)
+        # a reading is good if its letters are frequent ones and its capitals begin words
+        good = sum(c in FREQUENT for c in words) - sum(a.islower() and b.isupper() for a, b in zip(words, words[1:]))
+        if good > score:
+            best, score = found, good
+    if best:
+        return best
+    for page in DOS_PAGES:
+        table = swap("cp1252", page)
+        found = [(m.start(), m.end(), f"cp1252>{page}", table[m.group()]) for m in _dos(page).finditer(text)]
+        if len(found) > len(best):
+            best = found
+    return best
+
+
 def units(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, page, letter) of each unit, under the page that explains most characters."""
     best: list[tuple[int, int, str, str]] = []
@@ -104,7 +163,7 @@ def units(text: str) -> list[tuple[int, int, str, str]]:
             size += m.end() - m.start()
         if size > covered:
             best, covered = found, size
-    found = [(i, i + 1, SWAP, text[i].encode("cp1252").decode("cp1251")) for m in SWAP_RUN.finditer(text) for i in range(m.start(), m.end())]
+    found = swapped(text)
     if len(found) > covered:
         best, covered = found, len(found)
     wide = []
@@ -129,6 +188,13 @@ def units(text: str) -> list[tuple[int, int, str, str]]:
 def restore_once(text: str, known: dict[tuple[str, str], str] | None) -> tuple[str, int]:
     """(text with its units replaced, number of units), all units or the known ones."""
     found = units(text)
+    if found and ">" in found[0][2]:
+        table = {ord(text[s]): letter for s, _, page, letter in found if known is None or (page, text[s]) in known}
+        out, last = [], 0
+        for s, e in ((m.start(), m.end()) for m in re.finditer("x+", _marked(found, len(text)))):
+            out += [text[last:s], text[s:e].translate(table)]
+            last = e
+        return "".join(out) + text[last:], sum(ord(text[s]) in table for s, _, _, _ in found)
     out, last, n = [], 0, 0
     for s, e, page, letter in found:
         if page == WIDE_PAGE or known is None or (page, text[s:e]) in known:
@@ -137,6 +203,14 @@ def restore_once(text: str, known: dict[tuple[str, str], str] | None) -> tuple[s
     return "".join(out) + text[last:], n
 
 
+def _marked(found: list[tuple[int, int, str, str]], n: int) -> str:
+    """The places of units as a text of x and blanks."""
+    line = bytearray(b" " * n)
+    for s, e, _, _ in found:
+        line[s:e] = b"x" * (e - s)
+    return line.decode()
+
+
 def restore(text: str, known: dict[tuple[str, str], str] | None = None) -> tuple[str, bool]:
     """(restored text, whether a unit was replaced); HTML escapes are resolved only for that."""
     done, changed = text, False
@@ -226,8 +300,14 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(values: DataFrame) -> dict[tuple[str, str], str]:
     """The cipher mapping (page, unit) -> letter learned from all values (one string column).
 
-    Its size is bounded by the letters in use times the code pages.
+    Its size is bounded by the letters in use times the swaps of code pages.
     """
+    return {(r["page"], r["unit"]): r["letter"] for r in learned(values).where(F.col("p") >= SURE).collect()}
+
+
+def learned(values: DataFrame) -> DataFrame:
+    """(page, unit, letter, p, likely, n): the letter that the bytes of each unit give, the share of its
+    occurrences that are ciphers, the letter learned from its neighbours, and their number."""
     counts = materialize(values.mapInArrow(_evidence, "page string, unit string, letter string, l string, r string, n bigint").groupBy("page", "unit", "letter", "l", "r").agg(F.sum("n").alias("n")))
     # letter classes bound the bigram table, whatever the corpus holds
     clean = counts.where("page = ''").select("l", "r", "n").toPandas()
@@ -236,31 +316,63 @@ def learn(values: DataFrame) -> dict[tuple[str, str], str]:
     for (a, _), n in pair.items():
         first[a] += n
     total = sum(first.values()) + 1
-    kinds = len(first) + 1
-
-    def log_p(a: str, b: str) -> float:
-        back = (first.get(b, 0) + 0.1) / (total + 0.1 * kinds)
-        return math.log((pair.get((a, b), 0) + 2 * back) / (first.get(a, 0) + 2))
+    # logarithms of the bigram probabilities; the last row and column stand for letters not in use
+    kinds = {k: i for i, k in enumerate(sorted(first))}
+    m = len(kinds)
+    seen = np.zeros((m + 1, m + 1))
+    for (a, b), n in pair.items():
+        if b in kinds:
+            seen[kinds[a], kinds[b]] = n
+    alone = (np.array([first[k] for k in kinds] + [0]) + 0.1) / (total + 0.1 * (m + 1))
+    bigram = np.log((seen + 2 * alone) / (np.array([first[k] for k in kinds] + [0]) + 2)[:, None])
+    # code pages agree on ASCII: only other letters can be what a unit stands for
+    letters = [k for k in kinds if k > "\x7f"]
+    place = {k: i for i, k in enumerate(letters)}
+    numbers = lambda cs: np.array([kinds.get(c, m) for c in cs], np.int64)
 
     def em(group: pd.DataFrame) -> pd.DataFrame:
         page, unit, letter = group.page.iloc[0], group.unit.iloc[0], group.letter.iloc[0]
         n = group.n.to_numpy(float)
-        body, plain = letter_class(letter), [letter_class(c) for c in unit]
-        inside = sum(log_p(a, b) for a, b in zip(plain, plain[1:]))
-        cipher = np.array([log_p(a, body) + log_p(body, b) for a, b in zip(group.l, group.r)])
-        ordinary = np.array([log_p(a, plain[0]) + inside + log_p(plain[-1], b) for a, b in zip(group.l, group.r)])
-        theta = 0.5
-        for _ in range(ROUNDS):
-            odds = math.log(theta) + cipher - math.log1p(-theta) - ordinary
-            post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-            new = min(1 - 1e-6, max(1e-6, (float((n * post).sum()) + 0.5) / (n.sum() + 1)))
-            if abs(new - theta) < 1e-6:
-                break
-            theta = new
-        return pd.DataFrame({"page": [page], "unit": [unit], "letter": [letter], "p": [theta]})
-
-    learned = counts.where("page <> ''").groupBy("page", "unit").applyInPandas(em, "page string, unit string, letter string, p double")
-    return {(r.page, r.unit): r.letter for r in learned.where(F.col("p") >= SURE).collect()}
+        body, plain = letter_class(letter), numbers(letter_class(c) for c in unit)
+        inside = bigram[plain[:-1], plain[1:]].sum()
+        own = letters if body in place else [*letters, body]
+        left, right, k = numbers(group.l), numbers(group.r), numbers(own)
+        ciphers = bigram[left][:, k] + bigram[k][:, right].T
+        ordinary = bigram[left, plain[0]] + inside + bigram[plain[-1], right]
+        at = own.index(body)
+
+        def share(q: np.ndarray, fixed: bool) -> tuple[float, np.ndarray]:
+            """Share of ciphers among the occurrences, and the letter, learned unless it is fixed."""
+            theta, given = 0.5, BYTES * (1 / len(own) + (np.arange(len(own)) == at))
+            for _ in range(ROUNDS):
+                each = ciphers + np.log(np.maximum(q, 1e-300))
+                top = each.max(1, keepdims=True)
+                cipher = np.log(np.exp(each - top).sum(1)) + top[:, 0]
+                odds = math.log(theta) + cipher - math.log1p(-theta) - ordinary
+                post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+                if not fixed:
+                    told = (np.exp(each - cipher[:, None]) * (n * post)[:, None]).sum(0)
+                    q = (told + given) / (told.sum() + given.sum())
+                new = min(1 - 1e-6, max(1e-6, (float((n * post).sum()) + 0.5) / (n.sum() + 1)))
+                if abs(new - theta) < 1e-6:
+                    break
+                theta = new
+            return theta, q
+
+        free, q = share(np.full(len(own), 1 / len(own)), False)
+        likely = own[int(q.argmax())]
+        theta, _ = share((np.arange(len(own)) == at).astype(float), True)
+        # the letter that was learned freely confirms that of the bytes; where it is another one, or one
+        # that no clean value has, the neighbours must fit that of the bytes on their own
+        p = max(theta, free) if likely == body and body in place else theta
+        return pd.DataFrame({"page": [page], "unit": [unit], "letter": [letter], "p": [p], "likely": [likely], "n": [int(n.sum())]})
+
+    return counts.where("page <> ''").groupBy("page", "unit").applyInPandas(em, "page string, unit string, letter string, p double, likely string, n bigint")
+
+
+def of_cases(cases: DataFrame) -> dict[tuple[str, str], str]:
+    """The mapping learned from all ``original`` titles and authors."""
+    return learn(cases.select(F.explode(F.array("original.title", "original.author")).alias("v")).where("v is not null"))
 
 
 def _fixer(known: dict[tuple[str, str], str], is_name: bool):
@@ -272,13 +384,14 @@ def _fixer(known: dict[tuple[str, str], str], is_name: bool):
     return fix
 
 
-def repair(df: DataFrame, columns: dict[str, Column], names: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with, for each entry of ``columns``, ``<key>_restored`` and ``<key>_garbled``.
+def repair(df: DataFrame, columns: dict[str, Column], names: tuple[str, ...] = (), known: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """``df`` with, for each entry of ``columns``, ``<key>_restored`` and ``<key>_garbled``, by the
+    mapping ``known`` or else by what is learned from these columns.
 
     The columns named in ``names`` hold names of people, where no question mark is ordinary.
     """
     one = F.explode(F.array(*columns.values())).alias("v")
-    known = learn(df.select(one).where("v is not null"))
+    known = learn(df.select(one).where("v is not null")) if known is None else known
     for key, value in columns.items():
         is_name = key in names
 
@@ -291,6 +404,6 @@ def repair(df: DataFrame, columns: dict[str, Column], names: tuple[str, ...] = (
 def found(cases: DataFrame) -> DataFrame:
     """(case_id, field_name) of the garbled values of ``original.title`` and ``original.author``."""
     fields = {"title": F.col("original.title"), "author": F.col("original.author")}
-    fixed = repair(cases.select("case_id", "original"), fields, names=("author",))
+    fixed = repair(cases.select("case_id", "original"), fields, ("author",), of_cases(cases))
     names = [F.when(F.col(f"{k}_garbled"), F.lit(f"original.{k}")) for k in fields]
     return fixed.select("case_id", F.explode(F.array_compact(F.array(*names))).alias("field_name"))

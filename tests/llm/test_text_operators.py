@@ -73,7 +73,33 @@ def test_restore_twice_misread_and_swapped():
     assert mojibake.restore("Gr&Atilde;&para;&Atilde;&Yuml;e") == ("Größe", True)
 
 
-@pytest.mark.parametrize("text, lost", [("r?le", True), ("Can X replace Y?", False), ("Results ? more", True), ("caf� x", True), ("{C}an this be?", False), ("at Man?wen: x", True), ("plain", False)])
+@pytest.mark.parametrize("written, used", [(w, u) for w in ("cp1251", "koi8-r", "cp866") for u in ("cp1251", "koi8-r", "cp866", "cp1252") if w != u and (w, u) not in (("cp1251", "cp866"), ("cp866", "cp1252"))])
+def test_swaps_of_cyrillic_pages(written, used):
+    text = "Вторая проверка карточек: Автоматическая выборка ведёт к другой работе"
+    assert mojibake.restore("".join(mojibake._page_chars(used)[b] for b in text.encode(written))) == (text, True)
+
+
+@pytest.mark.parametrize("page, text", [("cp437", "Müller über naïve façade"), ("cp850", "Müller über den Zaun")])
+def test_latin_text_read_with_a_dos_page(page, text):
+    assert mojibake.restore(text.encode("latin-1").decode(page)) == (text, True)
+
+
+@pytest.mark.parametrize("text", ["TNF-α and β-amyloid", "10⁻³ and CO₂ ± 2 °C", "x² · y", "Вторая проверка карточек", "Straße größer", "so\u00adft", "Смирнов А. Б. и ИВАНОВ"])
+def test_ordinary_signs_are_no_swap(text):
+    assert mojibake.restore(text) == (text, False)
+
+
+def test_letters_are_learned_from_an_unknown_mapping(spark):
+    """The letter of each frequent unit comes out of its neighbours alone, without its bytes."""
+    words = "möchte über die Brücke gehen und fährt später naïve René café größer schön Mühle".split()
+    rng = random.Random(4)
+    clean = [(" ".join(rng.choice(words) for _ in range(8)),) for _ in range(400)]
+    bad = [(t.encode().decode("cp1252"),) for (t,) in clean[:60]]
+    got = {r["unit"]: (r["letter"], r["likely"], r["p"]) for r in mojibake.learned(spark.createDataFrame(clean + bad, "v string")).collect()}
+    assert {u: x[1] for u, x in got.items() if x[0] in "öüäé"} == {"Ã¶": "ö", "Ã¼": "ü", "Ã¤": "ä", "Ã©": "é"} and all(x[2] > 0.9 for x in got.values() if x[0] in "öüäé")
+
+
+@pytest.mark.parametrize("text, lost", [("r?le", True), ("Can X replace Y?", False), ("Results ? more", True), ("caf� x", True), ("{C}an this be?", False), ("at Man?wen: x", True), ("plain", False), ("Quo vadis, ecology?", False), ("Warum fehlt die Seite?", False)])
 def test_lost_letters(text, lost):
     assert mojibake.has_lost(text) is lost
 
