@@ -44,6 +44,10 @@ NICKNAMES = {
     "natasha": "natalia", "magda": "magdalena", "dick": "richard", "tadek": "tadeusz", "rafa": "rafael", "sam": "samuel", "paco": "francisco", "mina": "wilhelmina amina", "matt": "matthias", "pepe": "jose giuseppe", "zosia": "zofia",
     "vic": "victor", "hans": "johannes hans-peter", "becky": "rebecca", "tom": "thomas", "kasia": "katarzyna", "tina": "christina valentina", "trish": "patricia", "danny": "daniel", "chuck": "charles", "joe": "joseph", "nick": "nicholas",
     "mitya": "dmitri", "liesl": "elisabeth", "debbie": "deborah", "bill": "william", "bea": "beatriz", "pip": "philip", "fritz": "frederick", "bert": "albert robert", "nell": "helena", "mike": "michael", "beppe": "giuseppe", "vanya": "ivan", "hank": "henry",
+    "liz": "elizabeth", "lizzie": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bobby": "robert", "rob": "robert", "billy": "william", "will": "william", "jack": "john", "johnny": "john", "dave": "david", "andy": "andrew", "alex": "alexander alexandra", "chris": "christopher christina",
+    "dan": "daniel", "ed": "edward edmund", "eddie": "edward", "fred": "frederick", "greg": "gregory", "jeff": "jeffrey", "jenny": "jennifer", "ken": "kenneth", "larry": "lawrence", "maggie": "margaret", "meg": "margaret", "pat": "patricia patrick", "pete": "peter", "phil": "philip",
+    "ray": "raymond", "ron": "ronald", "sue": "susan", "tim": "timothy", "zach": "zachary", "gabe": "gabriel", "jimmy": "james", "tommy": "thomas", "charlie": "charles", "joey": "joseph", "nate": "nathan nathaniel", "vince": "vincent", "walt": "walter", "wendy": "gwendolyn", "cathy": "catherine", "kathy": "katherine",
+    "jo": "joanna josephine", "nicky": "nicholas nicole", "lou": "louis louise", "max": "maximilian", "gus": "gustav augustus", "manu": "manuel emmanuel", "pancho": "francisco", "lupe": "guadalupe", "nando": "fernando", "gigi": "luigi", "sepp": "josef", "uli": "ulrich", "heinz": "heinrich", "misha": "mikhail", "kolya": "nikolai", "volodya": "vladimir", "gosia": "malgorzata", "krysia": "krystyna",
 }
 LATEX = re.compile(r"\{?\\(?:['\"`^~=.vcHkur]|[a-zA-Z](?=\{))\s*\{?\\?([A-Za-z])\}?\}?")
 LATEX_LETTER = re.compile(r"\{?\\(ss|ae|AE|oe|OE|aa|AA|o|O|l|L)\b\s*\}?")
@@ -80,12 +84,13 @@ def _is_initials(token: str) -> bool:
 class Parser:
     """Parses names with the help of the given names that occur."""
 
-    def __init__(self, given: dict[str, int]) -> None:
+    def __init__(self, given: dict[str, int], org_words: frozenset[str] = frozenset()) -> None:
         self.given = set(given) | set(NICKNAMES)
         top = max(given.values(), default=0)
         self.formal = sorted({g for g, n in given.items() if n * 4 >= top and len(g) > 2} | {f for v in NICKNAMES.values() for f in v.split()})
         self.given |= set(self.formal)
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.org_words = org_words
 
     def formals(self, token: str) -> tuple[str, ...]:
         """The given names that a typed one can stand for."""
@@ -158,9 +163,6 @@ class Parser:
             return None
         return "p", fam, given, initials
 
-    #: Words that many organisations share; they don't tell one from another.
-    org_words: frozenset[str] = frozenset("genomics metadata applied ecology working international investigators sciences science health research medical national european global data clinical".split())
-
 
 def one_slip(a: str, b: str) -> bool:
     """Whether at most one letter is wrong, missing, added or swapped with the next."""
@@ -218,14 +220,27 @@ def given_names(names: DataFrame) -> dict[str, int]:
     return lexicon
 
 
+def org_words_of(names: DataFrame) -> frozenset[str]:
+    """Words that a hundredth of the organisations share: they don't tell one from another.
+
+    At most a few hundred, as a name has few words; where no more than twenty names have a word,
+    that is no evidence.
+    """
+    orgs = names.where(F.col("name").rlike(ORG.pattern.replace(r"\b(", r"(?i)\b(", 1)))
+    words = orgs.select(F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}]+"))).alias("w")).where(F.length("w") >= 5)
+    tally = materialize(words.groupBy("w").agg(F.count("*").alias("n")))
+    least = max(20, orgs.count() / 100)
+    return frozenset(fold(r["w"]) for r in tally.where(F.col("n") > least).collect())
+
+
 def _parsed(names: DataFrame) -> DataFrame:
     """(name, kind, fam, g, given, ini), one row for each possible first initial g."""
     from refaudit.llm import charforms
 
-    lexicon = given_names(names)
+    lexicon, shared = given_names(names), org_words_of(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(lexicon)
+        parser = Parser(lexicon, shared)
         for b in batches:
             raw = b.column(0)
             shown, _ = charforms.canonical(raw)
@@ -259,7 +274,7 @@ def _parents(parts: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit("<"), F.right("fam", m)).alias("k"), F.substring(F.col("fam"), F.lit(1), n - m).alias("rest")),
         F.struct(F.concat(F.lit(">"), F.left("fam", m)).alias("k"), F.substring(F.col("fam"), m + 1, n).alias("rest")),
     )))
-    keyed = parts.where(n >= 5).select("fam", "g", "n", F.explode(keys).alias("x")).select("fam", "g", "n", "x.rest", F.xxhash64("x.k", "g").alias("key"))
+    keyed = parts.where(n >= 3).select("fam", "g", "n", F.explode(keys).alias("x")).select("fam", "g", "n", "x.rest", F.xxhash64("x.k", "g").alias("key"))
     counted = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key")))
     final = counted.select("fam", "g", "n", F.explode(F.when(F.col("size") <= COMMON, F.array(F.col("key"))).otherwise(F.transform(_left_out(F.col("rest")), lambda r: F.xxhash64(F.col("key"), r)))).alias("key")).distinct()
     # a refined key holds only parts one letter apart, a plain one at most COMMON of them
@@ -282,48 +297,107 @@ def _parents(parts: DataFrame) -> DataFrame:
     return found.groupBy("fam", "g").agg(F.min_by("parent", F.struct(-F.col("pn"), "parent")).alias("parent"))
 
 
-def persons(forms: list[tuple[str, tuple[str, ...], str]]) -> list[list[str]]:
-    """Divides the spellings (name, given names, initials) of one family part and first initial."""
-    found: list[dict] = []
+class _People:
+    """The persons found so far, looked up by given name and by initials."""
 
-    def fits(p: dict, given: tuple[str, ...], ini: str) -> bool:
-        if p["given"] and given and not set(p["given"]) & set(given):
-            return False
-        return p["ini"].startswith(ini) or ini.startswith(p["ini"])
+    def __init__(self) -> None:
+        self.all: list[dict] = []
+        self.given: dict[str, list[int]] = {}
+        self.nameless: dict[str, list[int]] = {}
+        self.initials: dict[str, list[int]] = {}
+        self.begin: dict[str, list[int]] = {}
 
-    def put(p: dict, name: str, given: tuple[str, ...], ini: str) -> None:
+    def add(self, given: tuple[str, ...], ini: str, name: str) -> None:
+        self.all.append({"given": given, "ini": ini, "names": [name]})
+        self._index(len(self.all) - 1, given, ini, 0)
+
+    def _index(self, i: int, given: tuple[str, ...], ini: str, known: int) -> None:
+        for g in given:
+            self.given.setdefault(g, []).append(i)
+        self.initials.setdefault(ini, []).append(i)
+        if not self.all[i]["given"]:
+            self.nameless.setdefault(ini, []).append(i)
+        for k in range(known, len(ini) + 1):
+            self.begin.setdefault(ini[:k], []).append(i)
+
+    def put(self, i: int, name: str, given: tuple[str, ...], ini: str) -> None:
+        p = self.all[i]
         p["names"].append(name)
+        had, old = p["given"], p["ini"]
         if given:
-            p["given"] = tuple(x for x in p["given"] if x in given) if p["given"] else given
-        if len(ini) > len(p["ini"]):
+            p["given"] = tuple(x for x in had if x in given) if had else given
+        if len(ini) > len(old):
             p["ini"] = ini
+        self._index(i, () if had else p["given"], p["ini"], len(old) + 1)
+
+    def fitting(self, given: tuple[str, ...], ini: str, count: int) -> list[int]:
+        """The first two of the persons 0 .. count - 1 that a spelling fits."""
+
+        def places():
+            if given:  # one of the same given name, or one without a given name
+                for g in given:
+                    yield from self.given.get(g, ())
+                sources = self.nameless
+            else:
+                sources = self.initials
+                yield from self.begin.get(ini, ())
+            for k in range(len(ini) + 1):
+                yield from sources.get(ini[:k], ())
+            if given:
+                yield from self.begin.get(ini, ())
+
+        out: list[int] = []
+        for i in places():
+            p = self.all[i]
+            if i >= count or i in out or (p["given"] and given and not set(p["given"]) & set(given)) or not (p["ini"].startswith(ini) or ini.startswith(p["ini"])):
+                continue
+            out.append(i)
+            if len(out) == 2:
+                break
+        return out
+
+    def same(self, given: tuple[str, ...], ini: str) -> list[int]:
+        """The persons of exactly these initials whose given name does not speak against it."""
+        return list(dict.fromkeys(i for i in self.initials.get(ini, ()) if self.all[i]["ini"] == ini and (not self.all[i]["given"] or not given or set(self.all[i]["given"]) & set(given))))
+
+
+def persons(forms: list[tuple[str, tuple[str, ...], str]]) -> list[list[str]]:
+    """Divides the spellings (name, given names, initials) of one family part and first initial.
 
+    In turns: those with given names and further initials, with further initials, with given names,
+    and the rest; each joins the one person it fits. One that fits none or several is a person of its
+    own, together with those of the same turn that differ from it in form only.
+    """
+    found = _People()
     tiers: list[list] = [[], [], [], []]
     for f in sorted(forms, key=lambda f: (-len(f[2]), f[0])):
         name, given, ini = f
         long = len(ini) > (1 if not given else max(1, len(given[0].split("-"))))
         tiers[0 if long and given else 1 if long else 2 if given else 3].append(f)
     for k, tier in enumerate(tiers):
-        alone: dict[tuple, list[dict]] = {}
-        known = list(found)
+        alone: dict[str, list[int]] = {}
+        known = len(found.all)
         for name, given, ini in tier:
-            own = [p for p in (found if k < 2 else known) if fits(p, given, ini)]
             if k < 2:
                 # M.C. may be a double given name without a middle initial
-                own = [p for p in own if p["ini"] == ini] or [p for p in own if not given and any("-" in x for x in p["given"]) and p["ini"].startswith(ini)]
+                own = found.same(given, ini)
+                if not own and not given:
+                    own = [i for i in dict.fromkeys(found.begin.get(ini, ())) if any("-" in x for x in found.all[i]["given"]) and found.all[i]["ini"].startswith(ini)]
+            else:
+                own = found.fitting(given, ini, known)
             if len(own) == 1:
-                put(own[0], name, given, ini)
+                found.put(own[0], name, given, ini)
                 continue
             # no one, or more than one: spellings that differ in form only still belong together
-            group = alone.setdefault((ini,) if not given else (), [])
-            same = [p for p in group if fits(p, given, ini)]
-            if same and (k >= 2 or same[0]["ini"] == ini):
-                put(same[0], name, given, ini)
+            near = [i for g in given or ("",) for i in alone.get(g if given else ini, ())]
+            same = [i for i in near if (found.all[i]["ini"] == ini if k < 2 or not given else found.all[i]["ini"].startswith(ini) or ini.startswith(found.all[i]["ini"]))]
+            if same:
+                found.put(min(same), name, given, ini)
             else:
-                p = {"given": given, "ini": ini, "names": [name]}
-                group.append(p)
-                found.append(p)
-    return [p["names"] for p in found]
+                for g in given or (ini,):
+                    alone.setdefault(g, []).append(len(found.all))
+                found.add(given, ini, name)
+    return [p["names"] for p in found.all]
 
 
 def organisations(forms: list[tuple[str, tuple[str, ...], str]]) -> list[list[str]]:
@@ -342,12 +416,21 @@ def organisations(forms: list[tuple[str, tuple[str, ...], str]]) -> list[list[st
 
 
 def entities(names: DataFrame) -> DataFrame:
-    """(name, entity) for every distinct name; entity is a spelling that stands for all of them,
-    ambiguous nicknames can have more than one row."""
+    """(name, entity) for every distinct name that shares its entity with another one.
+
+    ``entity`` is a struct (family part, first initial, kind, number). A nickname of several given
+    names lies in a group for each; a spelling that shares an entity with other names in more than
+    one group is in none of them.
+    """
     forms = materialize(_parsed(names))
     parents = _parents(forms.groupBy("fam", "g").agg(F.count("*").alias("n")))
-    up = parents.select(F.col("fam").alias("parent"), "g", F.col("parent").alias("top"))
-    parents = parents.join(up, ["parent", "g"], "left").select("fam", "g", F.coalesce("top", "parent").alias("rep"))
+    parents = materialize(parents.withColumnRenamed("parent", "rep"))
+    while True:  # to the root of each chain; a parent has more spellings, so that chains end
+        up = parents.select(F.col("fam").alias("rep"), "g", F.col("rep").alias("top"))
+        step = materialize(parents.join(up, ["rep", "g"], "left").select("fam", "g", F.coalesce("top", "rep").alias("rep"), F.col("top").isNotNull().alias("moved")))
+        parents = step.select("fam", "g", "rep")
+        if not step.where("moved").limit(1).count():
+            break
     grouped = forms.join(parents, ["fam", "g"], "left").withColumn("rep", F.coalesce("rep", "fam"))
     ordered = grouped.select("rep", "g", "kind", "name", "given", "ini").repartition("rep", "g").sortWithinPartitions("rep", "g", "kind")
 
@@ -356,26 +439,35 @@ def entities(names: DataFrame) -> DataFrame:
             for b in batches:
                 yield from zip(*(b.column(i).to_pylist() for i in range(6)))
 
-        names_out: list[str] = []
-        entity: list[str] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(names_out, pa.string()), pa.array(entity, pa.string())], ["name", "entity"])
-        for (_, _, kind), group in groupby(rows(), key=lambda r: r[:3]):
+        cols: tuple[list, ...] = ([], [], [], [], [], [])
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_()))], ["name", "rep", "g", "kind", "number", "firm"])
+            for c in cols:
+                c.clear()
+            return batch
+
+        for (rep, g, kind), group in groupby(rows(), key=lambda r: r[:3]):
             members = [(r[3], tuple(r[4] or ()), r[5]) for r in group]
-            for people in (persons if kind == "p" else organisations)(members):
-                head = min(people, key=lambda x: x.encode())
-                names_out += people
-                entity += [head] * len(people)
-            if len(names_out) > 20_000:
+            several = {n for n, given, _ in members if len({x[:1] for x in given}) > 1}
+            for k, people in enumerate((persons if kind == "p" else organisations)(members)):
+                if len(people) > 1:
+                    n, firm = len(people), not several.issuperset(people)
+                    for c, v in zip(cols, (people, [rep] * n, [g] * n, [kind] * n, [k] * n, [firm] * n)):
+                        c += v
+            if len(cols[0]) > 20_000:
                 yield flush()
-                names_out, entity = [], []
         yield flush()
 
-    return ordered.mapInArrow(run, "name string, entity string")
+    linked = ordered.mapInArrow(run, "name string, rep string, g string, kind string, number int, firm boolean")
+    each = linked.select("name", "firm", F.struct("rep", "g", "kind", "number").alias("entity"))
+    best = each.groupBy("name").agg(F.count_if("firm").alias("n"), F.min_by("entity", F.struct(~F.col("firm"), "entity")).alias("entity"))
+    return best.where("n <= 1").select("name", "entity")
 
 
 def found(cases: DataFrame, europepmc: DataFrame, s2: DataFrame) -> DataFrame:
     """(name_a, name_b): the pairs of different names that mean the same."""
     linked = entities(materialize(names_of(cases, europepmc, s2)))
-    sets = linked.groupBy("entity").agg(F.sort_array(F.collect_set("name")).alias("m")).where(F.size("m") > 1)
+    sets = linked.groupBy("entity").agg(F.sort_array(F.collect_list("name")).alias("m")).where(F.size("m") > 1)
     pairs = sets.select("m", F.posexplode("m").alias("i", "name_a")).select("name_a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("name_b"))
-    return pairs.distinct()
+    return pairs
