@@ -85,7 +85,9 @@ FREQUENT = frozenset("оеаинтср")
 #: Latin text of one byte a letter, read with a page of the DOS era: signs between letters.
 DOS_PAGES = ("cp437", "cp850")
 ANY_HIGH = re.compile(r"[^\x00-\x7f]")
-WIDE_RUN = re.compile(r"[⺀-鿿가-퟿豈-﫿＀-￯€-]+[\x40-\x7e]?")
+#: Characters that a multi-byte page makes of the bytes of other text.
+WIDE = r"\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff\uff00-\uffef\u20ac\ue000-\uf8ff"
+WIDE_RUN = re.compile(f"[{WIDE}]+[\\x40-\\x7e]?")
 ESCAPES = re.compile(r"&[A-Za-z]{2,8};|&#x?[0-9A-Fa-f]+;")
 LOST_INSIDE = re.compile(r"\w\?\w|(?:^|[\s{(\[“\"'-])\?+\w|(?:^|\s)\?+(?=\s|$)|\d\?\?", re.U)
 LOST_AFTER = re.compile(r"\w\?", re.U)
@@ -185,6 +187,19 @@ def units(text: str) -> list[tuple[int, int, str, str]]:
     return best
 
 
+class Mapping(dict):
+    """A learned mapping (page, unit) -> letter, and the test that every value passes that a unit of
+    it or of the multi-byte page may begin in."""
+
+    def __init__(self, units: dict[tuple[str, str], str] = {}) -> None:  # noqa: B006
+        super().__init__(units)
+        heads = "".join(sorted({re.escape(u[0]) for _, u in self}))
+        self.head = re.compile(f"[{heads}{WIDE}]|&")
+
+    def __reduce__(self):
+        return Mapping, (dict(self),)
+
+
 def restore_once(text: str, known: dict[tuple[str, str], str] | None) -> tuple[str, int]:
     """(text with its units replaced, number of units), all units or the known ones."""
     found = units(text)
@@ -213,6 +228,8 @@ def _marked(found: list[tuple[int, int, str, str]], n: int) -> str:
 
 def restore(text: str, known: dict[tuple[str, str], str] | None = None) -> tuple[str, bool]:
     """(restored text, whether a unit was replaced); HTML escapes are resolved only for that."""
+    if isinstance(known, Mapping) and not known.head.search(text):
+        return text, False
     done, changed = text, False
     for _ in range(3):
         plain = html.unescape(done) if ESCAPES.search(done) else done
@@ -297,12 +314,12 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def learn(values: DataFrame) -> dict[tuple[str, str], str]:
+def learn(values: DataFrame) -> Mapping:
     """The cipher mapping (page, unit) -> letter learned from all values (one string column).
 
     Its size is bounded by the letters in use times the swaps of code pages.
     """
-    return {(r["page"], r["unit"]): r["letter"] for r in learned(values).where(F.col("p") >= SURE).collect()}
+    return Mapping({(r["page"], r["unit"]): r["letter"] for r in learned(values).where(F.col("p") >= SURE).collect()})
 
 
 def learned(values: DataFrame) -> DataFrame:
@@ -370,7 +387,7 @@ def learned(values: DataFrame) -> DataFrame:
     return counts.where("page <> ''").groupBy("page", "unit").applyInPandas(em, "page string, unit string, letter string, p double, likely string, n bigint")
 
 
-def of_cases(cases: DataFrame) -> dict[tuple[str, str], str]:
+def of_cases(cases: DataFrame) -> Mapping:
     """The mapping learned from all ``original`` titles and authors."""
     return learn(cases.select(F.explode(F.array("original.title", "original.author")).alias("v")).where("v is not null"))
 
