@@ -5,12 +5,12 @@ narrows the languages it can belong to. Viterbi over the words of a document, wi
 each switch, gives the spans; it runs over all documents of a batch at once, position by position.
 A sentence belongs to a language if most of its scored words do.
 
-The scores are fitted on a bounded sample of labelled documents (``SAMPLE`` a language, chosen by
-a hash of the id) and re-estimated from their own spans, so that wrong labels lose their weight.
+The scores are fitted on a bounded sample of labelled documents (``SAMPLE`` a language of at most
+``LONGEST`` characters each, chosen by a hash of the id) and re-estimated from their own spans, so that wrong labels lose their weight.
 Everything else covers all documents and whole texts.
 
 Defined results: null, empty and blank texts, and texts without running text (BibTeX, payloads,
-logs), have no language. Quotations, headings and reference lines are skipped. A label that names
+logs), have no language; what is running text is told by the lines themselves. Quotations, headings and reference lines are skipped. A label that names
 no language of the table names nothing.
 """
 
@@ -32,7 +32,9 @@ from refaudit.llm.tokens import pieces
 PIECE = 1_500_000
 #: Labelled documents a language that the scores are fitted on, at most about twice as many.
 SAMPLE = 400
-ROUNDS = 3
+#: Characters of a text that the scores are fitted on, so that the sample has a bounded size.
+LONGEST = 20_000
+ROUNDS = 2
 SWITCH = 7.0
 CLIP = 5.0
 #: Share of a sentence's scored words that its language must have, and how many it needs.
@@ -46,8 +48,9 @@ STOP = re.compile(r"[.!?]+[\"'»”’)\]]*(?=\s|$)|[。！？]+|\n\s*\n", re.U)
 QUOTED = re.compile(r"«[^«»]{0,300}»|『[^『』]{0,300}』|《[^《》]{0,300}》|「[^「」]{0,300}」|“[^“”]{0,300}”|„[^„“”]{0,300}[“”]|\([^()\n]{0,200}\)")
 REFERENCE = re.compile(r"^\W{0,12}\[\d{1,4}\]\s+\S.*$", re.M | re.U)
 HEADING = re.compile(r"^.{0,60}?#\s.*$", re.M)
-MACHINE_LINE = re.compile(r"^\s*(?:@\w+\{.*|\w+\s*=\s*\{.*|\}|\{\s*\".*|\d{4}-\d\d-\d\dT\S+ .*)$", re.M)
-PROSE = ("abstract", "note", "report")
+#: Lines of BibTeX, of JSON and of logs: a member or field with its value, brackets alone, a time
+#: stamp or two settings at least.
+MACHINE_LINE = re.compile(r"""^(?:.*@\w+\{.*|.*=[^\n]*\{.*\}.*|.*"[^"\n]{1,60}"\s*:\s.*|[\s\[\]{},]*(?:\\\w+\{[^{}\n]*\}[\s\[\]{},]*)?|.*\d{4}-\d\d-\d\dT\d\d:\d\d.*|.*\b\w+=\S+\s+\w+=\S+.*)$""", re.M)
 
 
 def running_text(text: str) -> str:
@@ -169,13 +172,13 @@ def spans(texts: list[str | None], model: Scores) -> list[list[tuple[str, int, i
         if not text or text.isspace():
             continue
         clean = running_text(text)
-        found = list(TOKEN.finditer(clean))
+        found = [m.span() for m in TOKEN.finditer(clean)]
         if not found:
             continue
-        words += [m.group() for m in found]
-        b = [m.start() for m in found]
+        words += [clean[i:j] for i, j in found]
+        b = [i for i, _ in found]
         begin += b
-        stop += [m.end() for m in found]
+        stop += [j for _, j in found]
         cuts = np.array([m.end() for m in STOP.finditer(clean)] or [len(clean)])
         sentence.append(last + np.searchsorted(cuts, b, "right"))
         last = int(sentence[-1][-1]) + 1
@@ -252,7 +255,7 @@ def named(label: Column, languages: DataFrame) -> Column:
 def train(docs: DataFrame, languages: DataFrame) -> Scores:
     """Fit on about ``SAMPLE`` to twice as many labelled documents of each language."""
     codes = [r["code"] for r in languages.select("code").orderBy("code").collect()]
-    labelled = docs.select("doc_id", "text", named(F.col("lang"), languages).alias("code")).where("code is not null and text is not null and length(text) between 40 and 20000")
+    labelled = docs.select("doc_id", "text", named(F.col("lang"), languages).alias("code")).where("code is not null and text is not null").where(F.length("text") <= LONGEST)
     if not codes:
         return Scores(["und"], {})
     tally = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}
@@ -272,8 +275,7 @@ def train(docs: DataFrame, languages: DataFrame) -> Scores:
 
 def label(docs: DataFrame, languages: DataFrame) -> DataFrame:
     """(doc_id, code, spans): the language the label names, and the spans of the running text."""
-    prose = docs.where(F.col("kind").isin(*PROSE)) if "kind" in docs.columns else docs
-    model = train(prose, languages)
+    model = train(docs, languages)
     shared = docs.sparkSession.sparkContext.broadcast((model.codes, model.rows, model.number, model.informs))  # bounded by the sample
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -288,7 +290,7 @@ def label(docs: DataFrame, languages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), body], ["doc_id", "code", "spans"])
 
     schema = f"doc_id {kind}, code string, spans array<struct<lang string, start int, end int, sentences int, confidence double>>"
-    return prose.select("doc_id", named(F.col("lang"), languages).alias("code"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", named(F.col("lang"), languages).alias("code"), "text").mapInArrow(run, schema)
 
 
 def found(docs: DataFrame, languages: DataFrame) -> DataFrame:

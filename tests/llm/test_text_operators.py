@@ -146,6 +146,18 @@ def test_p8_found(spark):
     assert languages.found(d.limit(0), langs).count() == 0 and languages.found(d, langs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ['{\n  "title": "The record was merged with an older entry",\n  "x": [\n    {\n    }\n  ]\n}', "@article{k,\n  title = {{The record was merged with an older entry}},\n}", "2024-01-02T03:04:05Z GET /works/1 status=200 hits=1\nGET the record was merged a=1 b=2"])
+def test_machine_lines_are_no_running_text(text):
+    assert languages.running_text(text).strip() == "" and len(languages.running_text(text)) == len(text)
+    assert languages.running_text(f"{text}\nSome words here.").split() == ["Some", "words", "here."]
+
+
+def test_documents_of_any_kind_are_read(spark):
+    d = spark.createDataFrame([(i, DE * 3, "de", k) for i, k in enumerate(["abstract"] * 20)] + [(i, EN * 3, "en", "note") for i in range(100, 120)] + [(50, DE, "en", None), (51, DE, "en", "letter")], "doc_id bigint, text string, lang string, kind string")
+    langs = spark.createDataFrame([("en", "English"), ("de", "German")], "code string, label string")
+    assert sorted(tuple(r) for r in languages.found(d, langs).collect()) == [(50, "de"), (51, "de")]
+
+
 def test_held_out_accuracy(spark):
     """Sentences of the smallest tables, fitted on one half and labelled on the other."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
