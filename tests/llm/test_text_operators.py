@@ -137,7 +137,7 @@ RU = "Эта запись получена слиянием с более ста
 
 def test_p8_found(spark):
     docs = [(i, t, lab, "abstract") for i, (t, lab) in enumerate([(EN * 3, "en")] * 15 + [(DE * 3, "deu")] * 15 + [(RU * 2, "ru-RU")] * 10)]
-    docs += [(100, EN + DE + EN, "English", "abstract"), (101, DE * 2, "en", "note"), (102, None, None, "note"), (103, "", "en", "note"), (104, " \n ", None, "note"), (105, EN, "zxx", "log"), (106, EN + "He said («Der Eintrag wurde mit einem Datensatz zusammengeführt») then.", "EN_us", "note"), (107, DE.upper(), None, "report"), (107, DE, "de", "report")]
+    docs += [(100, EN + DE + EN, "English", "abstract"), (101, DE * 2, "en", "note"), (102, None, None, "note"), (103, "", "en", "note"), (104, " \n ", None, "note"), (105, "2024-01-02T03:04:05Z GET /works/1 " + EN, "zxx", "log"), (106, EN + "He said («Der Eintrag wurde mit einem Datensatz zusammengeführt») then.", "EN_us", "note"), (107, DE.upper(), None, "report"), (107, DE, "de", "report")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, kind string")
     langs = spark.createDataFrame([("en", "English"), ("de", "German"), ("ru", "Russian")], "code string, label string")
     assert sorted(tuple(r) for r in languages.found(d, langs).collect()) == [(100, "de"), (101, "de"), (107, "de")]
