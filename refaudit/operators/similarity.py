@@ -42,14 +42,22 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(long.contains(short) & (F.size(F.split(short, " ")) >= 4) & (share >= 0.65), share).otherwise(0.0)
 
 
+def _best(a: Column, b: Column, parts: list[Column], ratio: bool) -> Column:
+    """The best of ``parts`` and, if asked for, the sequence ratio. The ratio is at most the share of
+    the shorter text; it is computed only where it can be the best."""
+    best = F.greatest(*parts)
+    if not ratio:
+        return best
+    most = F.try_divide(2 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))
+    asked = (a != b) & (a != "") & (b != "") & (most > best)
+    return F.greatest(best, F.coalesce(_ratio(F.when(asked, a), F.when(asked, b)), F.lit(0.0)))
+
+
 def title(a: Column, b: Column, ratio: bool = True) -> Column:
     """Similarity of two normalized titles: the best of sequence ratio, word overlap and
     containment; 0 if either is empty, 1 if they are equal."""
-    parts = [F.coalesce(jaccard(tokens(a), tokens(b)), F.lit(0.0)), containment(a, b)]
-    if ratio:
-        differ = (a != b) & (a != "") & (b != "")
-        parts.append(F.coalesce(_ratio(F.when(differ, a), F.when(differ, b)), F.lit(0.0)))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(*parts))
+    best = _best(a, b, [F.coalesce(jaccard(tokens(a), tokens(b)), F.lit(0.0)), containment(a, b)], ratio)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(best)
 
 
 def loose_title(a: Column, b: Column, threshold: float = 0.85, ratio: bool = True) -> Column:
@@ -57,11 +65,8 @@ def loose_title(a: Column, b: Column, threshold: float = 0.85, ratio: bool = Tru
     short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
     part = F.when(long.contains(short), F.try_divide(F.length(short), F.length(long)) * 0.95).otherwise(0.0)
-    score = [part, F.coalesce(jaccard(tokens(a), tokens(b)), F.lit(0.0))]
-    if ratio:
-        differ = (a != b) & (a != "") & (b != "")
-        score.append(F.coalesce(_ratio(F.when(differ, a), F.when(differ, b)), F.lit(0.0)))
-    return F.when((a == "") | (b == ""), False).when(a == b, True).otherwise(F.greatest(*score) >= threshold)
+    best = _best(a, b, [part, F.coalesce(jaccard(tokens(a), tokens(b)), F.lit(0.0))], ratio)
+    return F.when((a == "") | (b == ""), False).when(a == b, True).otherwise(best >= threshold)
 
 
 def families(authors: Column, norm=text.normalize) -> Column:
