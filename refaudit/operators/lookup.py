@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from refaudit.functions import identifiers as ids
 
 #: Titles a word offers, the shortest first, to find how close an entry's records are at least.
-SEEDS = 16
+SEEDS = 32
+#: Words of an entry that are asked for them, the rarest first.
+RAREST = 3
 LIMIT = 5
 
 
@@ -66,7 +68,7 @@ def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: s
 
     seed = held.withColumn("_i", F.row_number().over(Window.partitionBy("_t").orderBy("_n", "_r"))).where(F.col("_i") <= SEEDS).select("_t", "_r")
     down = Window.partitionBy("_e").orderBy(F.col("_share").desc(), "_r").rowsBetween(Window.unboundedPreceding, 0)
-    least = scored(asked.join(seed, "_t").select("_e", "_r").distinct()).withColumn("_c", F.sum(F.size("_ids")).over(down)).where(F.col("_c") >= limit).groupBy("_e").agg(F.max("_share").alias("_least"))
+    least = scored(asked.where(F.col("_p") < RAREST).join(seed, "_t").select("_e", "_r").distinct()).withColumn("_c", F.sum(F.size("_ids")).over(down)).where(F.col("_c") >= limit).groupBy("_e").agg(F.max("_share").alias("_least"))
 
     cells = held.select("_t", "_n", "_q").distinct()
     most = F.least(F.col("_m") - F.col("_p"), F.col("_n") - F.col("_q"))
