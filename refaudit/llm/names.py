@@ -102,7 +102,7 @@ class Parser:
                 near = [f for f in self.formal if abs(len(f) - len(token)) <= 1 and one_slip(f, token)]
                 nick = [f for k, v in NICKNAMES.items() if not near and len(token) > 3 and one_slip(k, token) for f in v.split()]
                 out = tuple(near or nick or [token])
-            if len(self.memo) > 200_000:
+            if len(self.memo) > 50_000:
                 self.memo.clear()
             self.memo[token] = out
         return self.memo[token]
