@@ -503,7 +503,7 @@ def d_decisions(spark: SparkSession, d: str) -> DataFrame:
     return _decisions(spark, d)
 
 
-@query(sql.decisions("SELECT case_id, coalesce(string_agg(field || '=' || suggested, ';' ORDER BY field) FILTER (action IN ('add', 'update')), '') AS changes, coalesce(string_agg(field || ':' || original || '>' || suggested, ';' ORDER BY field) FILTER (action IN ('add', 'update')), '') AS differences, string_agg(field || ' ' || action, ',' ORDER BY field) AS actions, count_if(action IN ('add', 'update')) AS n_applied, count_if(NOT normalized_equal AND action <> 'keep_original') AS n_meaningful FROM acted GROUP BY 1"))
+@query(sql.decisions("SELECT case_id, coalesce(string_agg(field || '=' || suggested, ';' ORDER BY field) FILTER (action IN ('add', 'update')), '') AS changes, coalesce(string_agg(field || ':' || original || '>' || suggested, ';' ORDER BY field) FILTER (action IN ('add', 'update')), '') AS differences, string_agg(field || ' ' || action, ',' ORDER BY field) AS actions, CAST(count_if(action IN ('add', 'update')) AS BIGINT) AS n_applied, CAST(count_if(NOT normalized_equal AND action <> 'keep_original') AS BIGINT) AS n_meaningful FROM acted GROUP BY 1"))
 def d_merged(spark: SparkSession, d: str) -> DataFrame:
     m = merge.merged(_decisions(spark, d), ["case_id"])
     listed = lambda c, f: F.array_join(F.transform(F.array_sort(F.map_entries(c)), f), ";")
@@ -569,7 +569,7 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
 _BUCKET_LIST = "[" + ", ".join(f"'{b}'" for b in report.BUCKETS) + "]"
 _RESULTS = sql.scored(
     _PAIRS, "case_id AS pos, 'c' || CAST(case_id AS VARCHAR) AS key, CASE WHEN status = 'matched' THEN CASE WHEN score < 1 THEN 'updated' ELSE 'verified' END WHEN status = 'no_match' THEN 'not_found' ELSE status END AS bucket, status AS st, case_id % 20 <> 0 AS complete, round(score, 4) AS confidence, 'status \"' || status || '\", from a pair' AS reason, 'crossref' AS platform",
-    "WITH r AS (SELECT *, CASE WHEN bucket = 'updated' THEN 'metadata_mismatch' ELSE bucket END AS status FROM ({})), q AS (SELECT bool_and(complete) AND count_if(bucket IN ('errors', 'invalid_input')) = 0 AS complete, count(*) AS total, " + ", ".join(f"count_if(bucket = '{b}') AS {b}" for b in report.BUCKETS) + " FROM r) ",
+    "WITH r AS (SELECT *, CASE WHEN bucket = 'updated' THEN 'metadata_mismatch' ELSE bucket END AS status FROM ({})), q AS (SELECT bool_and(complete) AND count_if(bucket IN ('errors', 'invalid_input')) = 0 AS complete, count(*) AS total, " + ", ".join(f"CAST(count_if(bucket = '{b}') AS BIGINT) AS {b}" for b in report.BUCKETS) + " FROM r) ",
 )
 _COUNTS_JSON = " || ',' || ".join(f"'\"{b}\":' || {b}" for b in ("total", *report.BUCKETS))
 _ENTRY_JSON = """'"key":"' || key || '","status":"' || status || '","complete":' || complete || ',"confidence":' || CAST(confidence AS VARCHAR) || ',"reason":"' || replace(reason, '"', '\\"') || '","platform":"' || platform || '","field_diffs":[{"field":"title","action":"' || CASE WHEN st = 'matched' THEN 'update' ELSE 'keep_original' END || '"}]}'"""

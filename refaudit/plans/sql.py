@@ -260,7 +260,7 @@ OUTCOME = f", {_OUTCOME_CTES} SELECT * FROM outcome"
 _P = "SELECT case_id, expected, bibliography, original AS o, candidate AS c FROM cases WHERE original IS NOT NULL AND candidate IS NOT NULL"
 G_COUNTS = scored(
     _P, "CASE WHEN status = 'matched' THEN CASE WHEN score < 1 THEN 'updated' ELSE 'verified' END WHEN status = 'no_match' THEN 'not_found' ELSE status END AS bucket",
-    "SELECT count_if(bucket = 'verified') AS verified, count_if(bucket = 'updated') AS updated, count_if(bucket = 'ambiguous') AS ambiguous, count_if(bucket = 'not_found') AS not_found, count_if(bucket = 'source_unavailable') AS source_unavailable, count_if(bucket = 'identifier_conflict') AS identifier_conflict, count_if(bucket = 'invalid_input') AS invalid_input, count_if(bucket = 'errors') AS errors, count(*) AS total FROM ({})",
+    "SELECT CAST(count_if(bucket = 'verified') AS BIGINT) AS verified, CAST(count_if(bucket = 'updated') AS BIGINT) AS updated, CAST(count_if(bucket = 'ambiguous') AS BIGINT) AS ambiguous, CAST(count_if(bucket = 'not_found') AS BIGINT) AS not_found, CAST(count_if(bucket = 'source_unavailable') AS BIGINT) AS source_unavailable, CAST(count_if(bucket = 'identifier_conflict') AS BIGINT) AS identifier_conflict, CAST(count_if(bucket = 'invalid_input') AS BIGINT) AS invalid_input, CAST(count_if(bucket = 'errors') AS BIGINT) AS errors, count(*) AS total FROM ({})",
 )
 
 
