@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from refaudit.functions import identifiers as ids
+from refaudit.operators import overlap
+from refaudit.session import materialize
 
-#: Titles a word offers, the shortest first, to find how close an entry's records are at least.
-SEEDS = 32
-#: Words of an entry that are asked for them, the rarest first.
-RAREST = 3
+#: Records of a block and entries of a part that meet in one task, and pairs from which there are more tasks.
+BLOCK, PART, PAIRS = 250_000, 150_000, 200_000_000
 LIMIT = 5
 
 
@@ -44,40 +48,50 @@ def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: s
     the share of common words, ties by id; a record without a common word is none of them.
 
     This is exact, whatever words the titles have. Titles of the same words rank alike and are
-    looked up once. A few titles a word give each entry a share that its last record has at least.
-    With all words in one order, the rarest first, a pair's first common word bounds its share by
-    the words that follow in both titles; so only those cells (word, length, place in the title)
-    are read whose bound reaches the entry's, and every record of the result is in one. Ids are
-    taken to be unique.
+    looked up once. Every part of the entries meets every block of the records in one task, which
+    counts the common words (:mod:`overlap`) and returns a few records an entry; no pair is written.
+    Ids are taken to be unique.
     """
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")))
-    of_entry = entries.select(F.col(entry_id), words(left).alias("_w")).where(F.size("_w") > 0)
-    e = of_entry.groupBy("_w").agg(F.min(entry_id).alias("_e"))
+    words = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))), " ")
+    of_entry = entries.select(F.col(entry_id), words(left).alias("_w")).where("_w <> ''")
+    e = materialize(of_entry.groupBy("_w").agg(F.min(entry_id).alias("_e")))
     first = Window.partitionBy("_rw").orderBy(record_id)
-    r = records.select(F.col(record_id), words(right).alias("_rw")).where(F.size("_rw") > 0).withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= limit)
-    r = r.groupBy("_rw").agg(F.min(record_id).alias("_r"), F.collect_list(record_id).alias("_ids"))
-
-    df = r.select(F.explode("_rw").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
-    ranked = lambda d, k, w: d.select(k, F.explode(w).alias("_t")).join(df, "_t", "left").groupBy(k).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_t"))).alias("_o"))
-    places = lambda d, k, n, p: d.select(k, F.size("_o").alias(n), F.posexplode("_o").alias(p, "_x")).where("_x._df > 0").select(k, n, p, F.col("_x._t").alias("_t"))
-    asked, held = places(ranked(e, "_e", "_w"), "_e", "_m", "_p"), places(ranked(r, "_r", "_rw"), "_r", "_n", "_q")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(e, "_e").join(r.select("_r", "_rw", "_ids"), "_r").withColumn("shared", F.size(F.array_intersect("_w", "_rw")))
-        return both.withColumn("_share", F.col("shared") / (F.size("_w") + F.size("_rw") - F.col("shared"))).drop("_w", "_rw")
-
-    seed = held.withColumn("_i", F.row_number().over(Window.partitionBy("_t").orderBy("_n", "_r"))).where(F.col("_i") <= SEEDS).select("_t", "_r")
-    down = Window.partitionBy("_e").orderBy(F.col("_share").desc(), "_r").rowsBetween(Window.unboundedPreceding, 0)
-    least = scored(asked.where(F.col("_p") < RAREST).join(seed, "_t").select("_e", "_r").distinct()).withColumn("_c", F.sum(F.size("_ids")).over(down)).where(F.col("_c") >= limit).groupBy("_e").agg(F.max("_share").alias("_least"))
-
-    cells = held.select("_t", "_n", "_q").distinct()
-    most = F.least(F.col("_m") - F.col("_p"), F.col("_n") - F.col("_q"))
-    reach = most / (F.col("_m") + F.col("_n") - most) >= F.coalesce("_least", F.lit(0.0))
-    pairs = asked.join(least, "_e", "left").join(cells, "_t").where(reach).select("_e", "_t", "_n", "_q").join(held, ["_t", "_n", "_q"]).select("_e", "_r").distinct()
-    best = scored(pairs).select("_e", "shared", "_share", F.explode("_ids").alias(record_id))
+    r = records.select(F.col(record_id), words(right).alias("_rw")).where("_rw <> ''").withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= limit)
+    r = materialize(r.groupBy("_rw").agg(F.min(record_id).alias("_r"), F.collect_list(record_id).alias("_ids")))
+    blocks, parts = spread(e.count(), r.count(), e.sparkSession.sparkContext.defaultParallelism)
+
+    crossed = lambda d, w, own, n, other, m: d.withColumns({own: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    asked = crossed(e, "_w", "_part", parts, "_block", blocks).groupBy("_block", "_part")
+    held = crossed(r.select("_rw", "_r"), "_rw", "_block", blocks, "_part", parts).groupBy("_block", "_part")
+    out = StructType.fromDDL(f"_e {e.schema['_e'].dataType.simpleString()}, _r {r.schema['_r'].dataType.simpleString()}, shared int, _share double")
+    types = {f.name: f.type for f in to_arrow_schema(out)}
+
+    def top(a: pa.Table, h: pa.Table) -> pa.Table:
+        if not a.num_rows or not h.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in types.items()})
+        one = lambda t, c: pa.concat_arrays(t.column(c).chunks)
+        w, rw = one(a, "_w"), one(h, "_rw")
+        i, j, shared = overlap.closest(w, rw, one(h, "_r"), limit)
+        size = lambda x, at: pc.add(pc.count_substring(x.take(pa.array(at)), " "), 1).to_numpy(zero_copy_only=False)
+        share = shared / (size(w, i) + size(rw, j) - shared)
+        made = {"_e": one(a, "_e").take(pa.array(i)), "_r": one(h, "_r").take(pa.array(j)), "shared": pa.array(shared), "_share": pa.array(share)}
+        return pa.table({c: made[c].cast(t) for c, t in types.items()})
+
+    closest = asked.cogroup(held).applyInArrow(top, out)
+    few = Window.partitionBy("_e").orderBy(F.col("_share").desc(), "_r")
+    if blocks > 1:  # of records with the same words only those of the first sets can be in the result
+        closest = closest.withColumn("_i", F.row_number().over(few)).where(F.col("_i") <= limit)
+    best = closest.join(r.select("_r", "_ids"), "_r").select("_e", "shared", "_share", F.explode("_ids").alias(record_id))
     w = Window.partitionBy("_e").orderBy(F.col("_share").desc(), record_id)
-    top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return of_entry.join(e, "_w").select(entry_id, "_e").join(top, "_e").select(entry_id, record_id, "shared", "rank")
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return of_entry.join(e, "_w").select(entry_id, "_e").join(ranked, "_e").select(entry_id, record_id, "shared", "rank")
+
+
+def spread(entries: int, records: int, cores: int) -> tuple[int, int]:
+    """(blocks of the records, parts of the entries): as many tasks as the pairs are worth."""
+    blocks = max(1, -(-records // BLOCK))
+    tasks = min(4 * cores, -(-entries * records // PAIRS))
+    return blocks, max(1, -(-entries // PART), -(-tasks // blocks))
 
 
 def with_fallback(hits: DataFrame, entries: DataFrame, search, entry_id: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from refaudit.functions import text
-from refaudit.operators import lookup, merge, ranking, report, scoring, similarity
+from refaudit.operators import lookup, merge, overlap, ranking, report, scoring, similarity
 from refaudit.sources import adapters, bibtex
 
 PAIR = "original struct<title: string, author: string, year: string, doi: string>, candidate struct<title: string, author: string, year: string, doi: string>"
@@ -133,6 +133,46 @@ def test_title_lookup_is_exact_whatever_the_words(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_titles_are_counted_exactly_in_any_division(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lookup, "BLOCK", 60)
+    monkeypatch.setattr(lookup, "PART", 9)
+    monkeypatch.setattr(overlap, "SLICE", 16)
+    monkeypatch.setattr(overlap, "COMMON", 4)
+    rng = random.Random(5)
+    title = lambda: " ".join(rng.choice(["of", "in", *[f"w{i}" for i in range(20)]]) for _ in range(rng.randint(1, 9)))
+    entries, records = [(("a", i), title()) for i in range(40)], [(f"r{i}", title()) for i in range(200)] * 2
+    records = [(f"{k}-{i % 7}", t) for i, (k, t) in enumerate(records)]
+    got = lookup.by_title(spark.createDataFrame(entries, "id struct<path: string, pos: int>, t string"), spark.createDataFrame(records, "rid string, rt string"), "id", "rid", F.col("t"), F.col("rt"))
+    want = []
+    for i, t in entries:
+        a = set(t.split())
+        near = sorted((-len(a & b) / len(a | b), r, len(a & b)) for r, x in records if a & (b := set(x.split())))
+        want += [(i, r, n, k) for k, (_, r, n) in enumerate(near[:5], 1)]
+    assert sorted((tuple(g["id"]), g["rid"], g["shared"], g["rank"]) for g in got.collect()) == sorted(want)
+
+
+def test_title_slices_match_brute_force(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    for size, common in ((7, 2), (64, 10), (1 << 16, 512)):
+        titles = lambda n: pa.array(list(dict.fromkeys(" ".join(sorted({f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))})) for _ in range(n))))
+        e, r = titles(40), titles(400)
+        monkeypatch.setattr(overlap, "SLICE", size)
+        monkeypatch.setattr(overlap, "COMMON", common)
+        got = [x.tolist() for x in overlap.closest(e, r, pa.array(range(len(r), 0, -1)), 5)]
+        want = []
+        for i, t in enumerate(e.to_pylist()):
+            a = set(t.split())
+            near = sorted((-len(a & b) / len(a | b), -j, len(a & b)) for j, x in enumerate(r.to_pylist()) if a & (b := set(x.split())))
+            want += [(i, -j, n) for _, j, n in near[:5]]
+        assert list(zip(*got)) == want
+
+
 def test_cache(spark):
     log = spark.createDataFrame([("k", 1.0, "a"), ("k", 5.0, "b"), ("m", 0.0, "c")], "cache_key string, created double, body string")
     state = lookup.latest(log, "cache_key", ["created"])
