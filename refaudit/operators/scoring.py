@@ -20,38 +20,53 @@ def _field(df: DataFrame, side: str, name: str) -> Column:
     return F.coalesce(F.col(f"{side}.{name}").cast("string"), F.lit("")) if name in fields else F.lit("")
 
 
+def with_forms(df: DataFrame, side: str, name: str, exact: bool = True) -> DataFrame:
+    """``df`` with the struct ``name``: what :func:`assess` compares of the struct ``side``, in normal forms.
+
+    Made once a record and kept beside it, it spares every pair the normalization of both sides.
+    """
+    norm = text.normalize if exact else text.normalize_native
+    get = {n: _field(df, side, n) for n in FIELDS}
+    venue = F.when(get["journal"] != "", get["journal"]).otherwise(get["booktitle"])
+    made = {"t": norm(get["title"]), "v": norm(venue), "p": norm(get["pages"]), "a": sim.families(get["author"], norm), "year": text.year(get["year"]), "titled": get["title"] != "", "venued": venue != "", "paged": get["pages"] != ""}
+    step = ids.with_ids(df.withColumns({f"{name}_{k}": v for k, v in made.items()}), get, f"{name}_")
+    step = step.withColumns({f"{name}_{k}w": sim.tokens(F.col(f"{name}_{k}")) for k in "tv"})
+    parts = (*made, "tw", "vw", "doi", "pmid", "pmcid", "arxiv")
+    return step.withColumn(name, F.struct(*[F.col(f"{name}_{k}").alias(k) for k in parts])).drop(*[f"{name}_{k}" for k in parts])
+
+
 def assess(df: DataFrame, left: str = "original", right: str = "candidate", matched: float = MATCHED, ambiguous: float = AMBIGUOUS, exact: bool = True) -> DataFrame:
     """``df`` with ``score``, ``status`` and ``signals`` of the structs ``left`` and ``right``.
 
     Fields that a struct lacks count as empty. With ``exact=False`` the title similarity leaves
-    the sequence ratio and compatibility forms out and the whole plan stays in the JVM.
+    the sequence ratio and compatibility forms out and the whole plan stays in the JVM. Where ``df``
+    has the forms of a side already (:func:`with_forms`, named as the side with an underscore before),
+    they are taken, and the side itself is not needed.
     """
     if matched < ambiguous:
         raise ValueError("the matched threshold must not be below the ambiguous one")
-    norm = text.normalize if exact else text.normalize_native
-    get = {s: {n: _field(df, s, n) for n in FIELDS} for s in (left, right)}
-    venue = {s: F.when(get[s]["journal"] != "", get[s]["journal"]).otherwise(get[s]["booktitle"]) for s in (left, right)}
     step = df
-    for tag, s in (("l", left), ("r", right)):
-        step = step.withColumns({f"_{tag}t": norm(get[s]["title"]), f"_{tag}v": norm(venue[s]), f"_{tag}p": norm(get[s]["pages"]), f"_{tag}a": sim.families(get[s]["author"], norm)})
-        step = ids.with_ids(step, get[s], f"_{tag}")
+    for s in (left, right):
+        if f"_{s}" not in df.columns:
+            step = with_forms(step, s, f"_{s}", exact)
+    l, r = ({k: F.col(f"_{s}")[k] for k in ("t", "v", "p", "a", "year", "titled", "venued", "paged", "tw", "vw", "doi", "pmid", "pmcid", "arxiv")} for s in (left, right))  # noqa: E741
     step = step.withColumns({
-        "_title": sim.title(F.col("_lt"), F.col("_rt"), exact),
-        "_authors": sim.jaccard(F.col("_la"), F.col("_ra")),
-        "_year": sim.year(get[left]["year"], get[right]["year"]),
-        "_venue": F.when((venue[left] != "") & (venue[right] != ""), sim.title(F.col("_lv"), F.col("_rv"), exact)),
-        "_pages": F.when((get[left]["pages"] != "") & (get[right]["pages"] != ""), (F.col("_lp") == F.col("_rp")).cast("double")),
-        "_ids": sim.identifiers(*[{n: F.col(f"_{t}{n}") for n in ("doi", "pmid", "pmcid", "arxiv")} for t in "lr"]),
+        "_title": sim.title(l["t"], r["t"], exact, (l["tw"], r["tw"])),
+        "_authors": sim.jaccard(l["a"], r["a"]),
+        "_year": sim.years(l["year"], r["year"]),
+        "_venue": F.when(l["venued"] & r["venued"], sim.title(l["v"], r["v"], exact, (l["vw"], r["vw"]))),
+        "_pages": F.when(l["paged"] & r["paged"], (l["p"] == r["p"]).cast("double")),
+        "_ids": sim.identifiers(l, r),
     })
-    known = {"title": F.when((get[left]["title"] != "") & (get[right]["title"] != ""), F.col("_title"))} | {n: F.col(f"_{n}") for n in ("authors", "year", "venue", "pages")}
+    known = {"title": F.when(l["titled"] & r["titled"], F.col("_title"))} | {n: F.col(f"_{n}") for n in ("authors", "year", "venue", "pages")}
     total = sum((F.coalesce(v * WEIGHTS[n], F.lit(0.0)) for n, v in known.items()), F.lit(0.0))
     weight = sum((F.when(v.isNotNull(), WEIGHTS[n]).otherwise(0.0) for n, v in known.items()), F.lit(0.0))
     weighted = F.try_divide(total, weight)
     shared, clash = F.size("_ids.shared") > 0, F.size("_ids.conflicting") > 0
-    other_title = shared & (F.col("_lt") != "") & (F.col("_rt") != "") & (F.col("_title") < 0.45)
+    other_title = shared & (l["t"] != "") & (r["t"] != "") & (F.col("_title") < 0.45)
     score = F.when(clash | other_title, 0.0).when(shared, F.greatest(F.lit(0.95), F.coalesce(weighted, F.lit(1.0)))).otherwise(F.coalesce(weighted, F.lit(0.0)))
     alone = ~shared & F.col("_authors").isNull() & F.col("_year").isNull() & F.col("_venue").isNull() & F.col("_pages").isNull()
-    untitled = shared & (F.col("_lt") == "") & (F.col("_rt") != "")
+    untitled = shared & (l["t"] == "") & (r["t"] != "")
     out = step.withColumn("score", score)
     status = (
         F.when(clash | other_title, "identifier_conflict")

@@ -53,10 +53,12 @@ def _best(a: Column, b: Column, parts: list[Column], ratio: bool) -> Column:
     return F.greatest(best, F.coalesce(_ratio(F.when(asked, a), F.when(asked, b)), F.lit(0.0)))
 
 
-def title(a: Column, b: Column, ratio: bool = True) -> Column:
+def title(a: Column, b: Column, ratio: bool = True, sets: tuple[Column, Column] | None = None) -> Column:
     """Similarity of two normalized titles: the best of sequence ratio, word overlap and
-    containment; 0 if either is empty, 1 if they are equal."""
-    best = _best(a, b, [F.coalesce(jaccard(tokens(a), tokens(b)), F.lit(0.0)), containment(a, b)], ratio)
+    containment; 0 if either is empty, 1 if they are equal. ``sets`` are their :func:`tokens`, where
+    they are known already."""
+    words = sets or (tokens(a), tokens(b))
+    best = _best(a, b, [F.coalesce(jaccard(*words), F.lit(0.0)), containment(a, b)], ratio)
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(best)
 
 
@@ -83,8 +85,13 @@ def families(authors: Column, norm=text.normalize) -> Column:
 
 
 def year(a: Column, b: Column) -> Column:
+    """:func:`years` of two texts."""
+    return years(text.year(a), text.year(b))
+
+
+def years(a: Column, b: Column) -> Column:
     """1 for the same year, 0.65 for neighbours, else 0; null unless both are known."""
-    delta = F.abs(text.year(a) - text.year(b))
+    delta = F.abs(a - b)
     return F.when(delta == 0, 1.0).when(delta == 1, 0.65).when(delta.isNotNull(), 0.0)
 
 

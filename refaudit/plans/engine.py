@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,12 +78,14 @@ class Engine:
 
     def named(self, entries: DataFrame) -> DataFrame:
         """Entries with ``entry_ref`` and what they are asked by: identifiers ``_doi`` and so on, the
-        title's words ``_t``, whether there is a title (``_titled``) or anything to search by."""
+        title's words ``_t``, whether there is a title (``_titled``) or anything to search by, and the
+        forms ``_original`` that their candidates are compared with."""
         e = ids.with_ids(entries, {f: F.col(f) for f in FIELDS}, "_")
         kinds = ("doi", "pmid", "pmcid", "arxiv")
         any_id = F.concat(*[F.col(f"_{k}") for k in kinds]) != ""
         ref = F.struct(*[F.col(c) for c in (*self.scope(entries), "pos")])
-        e = e.withColumns({"entry_ref": ref, "_t": self._norm("title"), "_titled": _known("title")})
+        e = e.withColumns({"entry_ref": ref, "_t": self._norm("title"), "_titled": _known("title"), "_whole": F.struct(*[F.col(f) for f in FIELDS])})
+        e = scoring.with_forms(e, "_whole", "_original", self.settings.exact).drop("_whole")
         return materialize(e.withColumn("_searchable", F.col("_titled") | any_id))
 
     def asked(self, named: DataFrame, source: str) -> DataFrame:
@@ -99,7 +103,8 @@ class Engine:
         return named.select("entry_ref", "_t", key.alias("_k"), status.alias("source_status"), "_titled")
 
     def prepare(self, records: DataFrame, source: str) -> DataFrame:
-        """(rec_id, candidate, doi, pmid, pmcid, arxiv, _rt): a source's records adapted and indexed.
+        """(rec_id, candidate, doi, pmid, pmcid, arxiv, _rt, _candidate): a source's records adapted,
+        indexed and brought to the forms that are compared.
 
         :meth:`verify` takes it in place of the records; written as a table once, it spares every run
         (and every batch of a stream) the adaptation of the whole source.
@@ -109,13 +114,16 @@ class Engine:
         get = lambda f: F.col(f) if f in cols else F.lit(None).cast("string")
         body = adapted.select("rec_id", F.struct(*[get(f).alias(f) for f in ("ENTRYTYPE", *FIELDS)]).alias("candidate"))
         parts = {"doi": ids.doi("candidate.doi"), "pmid": ids.pmid("candidate.pmid"), "pmcid": ids.pmcid("candidate.pmcid"), "arxiv": ids.arxiv("candidate.eprint")}
-        return body.select("rec_id", "candidate", *[v.alias(k) for k, v in parts.items()], self._norm("candidate.title").alias("_rt"))
+        indexed = body.select("rec_id", "candidate", *[v.alias(k) for k, v in parts.items()], self._norm("candidate.title").alias("_rt"))
+        return scoring.with_forms(indexed, "candidate", "_candidate", self.settings.exact)
 
     def candidates(self, asked: DataFrame, source: str, records: DataFrame) -> DataFrame:
-        """(entry_ref, source, cand_pos, candidate): the records a source answers an entry with."""
+        """(entry_ref, source, cand_pos, candidate, _candidate): the records a source answers an entry with."""
         kinds, falls_back, limit = adapters.ACCESS[source]
         index = records if "candidate" in records.columns else materialize(self.prepare(records, source))
-        body = index.select("rec_id", "candidate")
+        if "_candidate" not in index.columns:
+            index = scoring.with_forms(index, "candidate", "_candidate", self.settings.exact)
+        body = index.select("rec_id", "candidate", "_candidate")
 
         def search(rest: DataFrame) -> DataFrame:
             titled = rest.where("_titled").select("entry_ref", "_t")
@@ -137,15 +145,20 @@ class Engine:
                 own = ready.where("_k.kind = 'pmid'").select("entry_ref")
                 hop = lookup.two_hop(pairs.join(own, "entry_ref", "left_anti"), index, "entry_ref", "rec_id", F.col("pmid")).select("entry_ref", "rec_id")
                 pairs = pairs.join(own, "entry_ref", "left_semi").unionByName(hop).distinct()
-        return pairs.join(body, "rec_id").select("entry_ref", F.lit(source).alias("source"), F.col("rec_id").cast("bigint").alias("cand_pos"), "candidate")
+        return pairs.join(body, "rec_id").select("entry_ref", F.lit(source).alias("source"), F.col("rec_id").cast("bigint").alias("cand_pos"), "candidate", "_candidate")
 
     def _answers(self, valid: DataFrame, tables: Mapping[str, DataFrame], recorded: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
         """(statuses (entry_ref, source, asked_status), candidates) of all sources."""
-        statuses, found = [], []
-        for source, records in tables.items():
+
+        def answer(source: str) -> tuple[DataFrame, DataFrame]:
             asked = self.asked(valid, source)
-            statuses.append(asked.where("source_status is not null").select("entry_ref", F.lit(source).alias("source"), F.col("source_status").alias("asked_status")))
-            found.append(self.candidates(asked, source, records))
+            status = asked.where("source_status is not null").select("entry_ref", F.lit(source).alias("source"), F.col("source_status").alias("asked_status"))
+            return status, self.candidates(asked, source, tables[source])
+
+        # the sources are prepared side by side, as their jobs are short and none of them fills the cores
+        with ThreadPoolExecutor(max(1, len(tables))) as pool:
+            answers = list(pool.map(inheritable_thread_target(self.spark)(answer), tables))
+        statuses, found = [a[0] for a in answers], [a[1] for a in answers]
         if recorded is not None:
             scope = self.scope(recorded)
             read = responses.statuses(recorded.withColumn("entry_ref", F.struct(*[F.col(c) for c in (*scope, "pos")])))
@@ -154,7 +167,8 @@ class Engine:
                 rows = responses.records(read.where((F.col("source") == source) & F.col("source_status").isNull()), source, ["entry_ref"], native=not self.settings.exact)
                 cols = set(rows.columns)
                 body = F.struct(*[(F.col(f) if f in cols else F.lit(None).cast("string")).alias(f) for f in ("ENTRYTYPE", *FIELDS)])
-                found.append(rows.select("entry_ref", F.lit(source).alias("source"), F.col("cand_pos").cast("bigint").alias("cand_pos"), body.alias("candidate")))
+                rows = rows.select("entry_ref", F.lit(source).alias("source"), F.col("cand_pos").cast("bigint").alias("cand_pos"), body.alias("candidate"))
+                found.append(scoring.with_forms(rows, "candidate", "_candidate", self.settings.exact))
         union = lambda ds: None if not ds else ds[0] if len(ds) == 1 else union([ds[0].unionByName(ds[1]), *ds[2:]])
         return union(statuses), union(found)
 
@@ -167,8 +181,7 @@ class Engine:
         if statuses is None or found is None:
             none = F.lit(None).cast("string")
             return ranked.select("*", F.lit("skipped").alias("source_status"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("bigint").alias("cand_pos"), F.struct(*[none.alias(f) for f in ("ENTRYTYPE", *FIELDS)]).alias("candidate"))
-        original = F.struct(*[F.col(f) for f in FIELDS])
-        scored = scoring.assess(found.join(valid.select("entry_ref", original.alias("original")), "entry_ref"), matched=s.matched, ambiguous=s.ambiguous, exact=s.exact)
+        scored = scoring.assess(found.join(valid.select("entry_ref", "_original"), "entry_ref"), matched=s.matched, ambiguous=s.ambiguous, exact=s.exact)
         chosen = ranking.select(scored.select("entry_ref", "source", "cand_pos", "status", "score", "candidate"), ["entry_ref", "source"], s.margin)
         both = ranked.join(chosen, ["entry_ref", "source"], "left").join(statuses, ["entry_ref", "source"], "left")
         if answering is not None:
@@ -228,7 +241,7 @@ class Engine:
         e = self.named(entries.withColumns(blank))
         by_doi = {k: v for k, v in tables.items() if k == "crossref"}
         rest = {k: v for k, v in tables.items() if k != "crossref"}
-        titled = e.withColumns({"doi": F.lit(""), "_doi": F.lit("")})
+        titled = e.withColumns({"doi": F.lit(""), "_doi": F.lit(""), "_original": F.col("_original").withField("doi", F.lit("")).withField("arxiv", F.lit(""))})
         parts = [self._results(x, t, None).where(F.col("source").isin(*t)) for x, t in ((e, by_doi), (titled, rest)) if t]
         results = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         order = ranking.rank_sources(entries.withColumn("entry_ref", F.struct(*[F.col(c) for c in (*scope, "pos")])), {f: F.col(f) for f in FIELDS}, "entry_ref", ranking.sources(self.spark, self.settings.sources))

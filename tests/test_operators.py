@@ -212,3 +212,20 @@ def test_arxiv_never_makes_up_a_doi(spark):
 def test_normalizers_agree_on_plain_text(spark):
     df = spark.createDataFrame([("A-b, C_d  {E}",), ("Über β x",), (None,)], "t string")
     assert all(r[0] == r[1] for r in df.select(text.normalize("t"), text.normalize_native("t")).collect())
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_pairs_are_scored_on_forms_made_before_they_meet(spark, exact):
+    sides = [
+        ({"title": "{Deep} Learning for Bees!", "author": "Lovelace, Ada and Alan Turing", "year": "in 2020", "doi": "https://doi.org/10.1/X"}, {"title": "Deep learning for bees", "author": "A. Lovelace; A. Turing", "year": "2021", "doi": "10.1/x"}),
+        ({"title": "Deep learning for bees", "author": "", "year": "", "doi": "10.1/x"}, {"title": "Deep learning for wasps", "author": "Hopper, Grace", "year": "2021", "doi": "10.1/y"}),
+        ({"title": "", "author": None, "year": None, "doi": None}, {"title": "Other", "author": "Hopper, Grace", "year": "2021", "doi": None}),
+    ]
+    pair = "struct<title: string, author: string, year: string, doi: string>"
+    pairs = spark.createDataFrame([(i, o, c) for i, (o, c) in enumerate(sides)], f"id int, original {pair}, candidate {pair}")
+    want = {r["id"]: r for r in scoring.assess(pairs, exact=exact).select("id", "score", "status", "signals").collect()}
+    assert [want[i]["status"] for i in range(3)] == ["matched", "identifier_conflict", "no_match"]
+    made = [scoring.with_forms(pairs.select("id", s), s, f"_{s}", exact).select("id", f"_{s}").localCheckpoint() for s in ("original", "candidate")]
+    scored = scoring.assess(made[0].join(made[1], "id"), exact=exact)
+    assert {r["id"]: r for r in scored.select("id", "score", "status", "signals").collect()} == want and scored.columns == ["id", "score", "status", "signals", "reason"]
+    assert "regexp" not in scored._jdf.queryExecution().optimizedPlan().toString()  # a pair normalizes nothing
