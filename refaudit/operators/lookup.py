@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from refaudit.functions import identifiers as ids
 from refaudit.operators import overlap
-from refaudit.session import materialize
+from refaudit.session import materialize, release
 
 #: Records of a block and entries of a part that meet in one task, and pairs from which there are more tasks.
 BLOCK, PART, PAIRS = 250_000, 150_000, 200_000_000
@@ -43,7 +44,7 @@ def exact(entries: DataFrame, index: DataFrame, entry_id: str, chosen: Column) -
     return asked.join(index, ["kind", "value"]).drop("value")
 
 
-def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: str, left: Column, right: Column, limit: int = LIMIT) -> DataFrame:
+def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: str, left: Column, right: Column, limit: int = LIMIT, least: Column | None = None) -> DataFrame:
     """(entry, record id, shared, rank): the ``limit`` records closest to each entry's title by
     the share of common words, ties by id; a record without a common word is none of them.
 
@@ -51,19 +52,23 @@ def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: s
     looked up once. Every part of the entries meets every block of the records in one task, which
     counts the common words (:mod:`overlap`) and returns a few records an entry; no pair is written.
     Ids are taken to be unique.
+
+    With ``least``, a number of the entry, those of the ``limit`` records are left out whose titles have
+    a lesser share of common words and can hold, or be part of, the entry's at no place either.
     """
     words = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))), " ")
-    of_entry = entries.select(F.col(entry_id), words(left).alias("_w")).where("_w <> ''")
-    e = materialize(of_entry.groupBy("_w").agg(F.min(entry_id).alias("_e")))
+    of_entry = entries.select(F.col(entry_id), words(left).alias("_w"), (F.lit(0.0) if least is None else least).cast("double").alias("_least")).where("_w <> ''")
+    e = materialize(of_entry.groupBy("_w").agg(F.min(entry_id).alias("_e"), F.min("_least").alias("_least")))
     first = Window.partitionBy("_rw").orderBy(record_id)
     r = records.select(F.col(record_id), words(right).alias("_rw")).where("_rw <> ''").withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= limit)
     r = materialize(r.groupBy("_rw").agg(F.min(record_id).alias("_r"), F.collect_list(record_id).alias("_ids")))
+    release(e.sparkSession)
     blocks, parts = spread(e.count(), r.count(), e.sparkSession.sparkContext.defaultParallelism)
 
     crossed = lambda d, w, own, n, other, m: d.withColumns({own: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
     asked = crossed(e, "_w", "_part", parts, "_block", blocks).groupBy("_block", "_part")
     held = crossed(r.select("_rw", "_r"), "_rw", "_block", blocks, "_part", parts).groupBy("_block", "_part")
-    out = StructType.fromDDL(f"_e {e.schema['_e'].dataType.simpleString()}, _r {r.schema['_r'].dataType.simpleString()}, shared int, _share double")
+    out = StructType.fromDDL(f"_e {e.schema['_e'].dataType.simpleString()}, _r {r.schema['_r'].dataType.simpleString()}, shared int, _share double, _reach double")
     types = {f.name: f.type for f in to_arrow_schema(out)}
 
     def top(a: pa.Table, h: pa.Table) -> pa.Table:
@@ -73,24 +78,34 @@ def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: s
         w, rw = one(a, "_w"), one(h, "_rw")
         i, j, shared = overlap.closest(w, rw, one(h, "_r"), limit)
         size = lambda x, at: pc.add(pc.count_substring(x.take(pa.array(at)), " "), 1).to_numpy(zero_copy_only=False)
-        share = shared / (size(w, i) + size(rw, j) - shared)
-        made = {"_e": one(a, "_e").take(pa.array(i)), "_r": one(h, "_r").take(pa.array(j)), "shared": pa.array(shared), "_share": pa.array(share)}
+        a_size, h_size = size(w, i), size(rw, j)
+        share = shared / (a_size + h_size - shared)
+        # of a title that is part of another one all words but the first and the last are words of that
+        reach = np.where(shared >= np.minimum(a_size, h_size) - 2, 1.0, share)
+        if blocks == 1:  # what comes after the last record that is kept; among the blocks' records it would count
+            floor = np.full(a.num_rows, np.inf)
+            kept = reach >= one(a, "_least").to_numpy()[i]
+            np.minimum.at(floor, i[kept], share[kept])
+            kept = share >= floor[i]
+            i, j, shared, share, reach = (x[kept] for x in (i, j, shared, share, reach))
+        made = {"_e": one(a, "_e").take(pa.array(i)), "_r": one(h, "_r").take(pa.array(j)), "shared": pa.array(shared), "_share": pa.array(share), "_reach": pa.array(reach)}
         return pa.table({c: made[c].cast(t) for c, t in types.items()})
 
     closest = asked.cogroup(held).applyInArrow(top, out)
     few = Window.partitionBy("_e").orderBy(F.col("_share").desc(), "_r")
     if blocks > 1:  # of records with the same words only those of the first sets can be in the result
         closest = closest.withColumn("_i", F.row_number().over(few)).where(F.col("_i") <= limit)
-    best = closest.join(r.select("_r", "_ids"), "_r").select("_e", "shared", "_share", F.explode("_ids").alias(record_id))
+    best = closest.join(r.select("_r", "_ids"), "_r").select("_e", "shared", "_share", "_reach", F.explode("_ids").alias(record_id))
     w = Window.partitionBy("_e").orderBy(F.col("_share").desc(), record_id)
     ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return of_entry.join(e, "_w").select(entry_id, "_e").join(ranked, "_e").select(entry_id, record_id, "shared", "rank")
+    return of_entry.join(e.select("_w", "_e"), "_w").select(entry_id, "_e", "_least").join(ranked, "_e").where("_reach >= _least").select(entry_id, record_id, "shared", "rank")
 
 
 def spread(entries: int, records: int, cores: int) -> tuple[int, int]:
-    """(blocks of the records, parts of the entries): as many tasks as the pairs are worth."""
+    """(blocks of the records, parts of the entries): as many tasks as the pairs are worth, one a core
+    at most where memory allows, as every part has all records written and counted once more."""
     blocks = max(1, -(-records // BLOCK))
-    tasks = min(4 * cores, -(-entries * records // PAIRS))
+    tasks = min(cores, -(-entries * records // PAIRS))
     return blocks, max(1, -(-entries // PART), -(-tasks // blocks))
 
 

@@ -93,11 +93,12 @@ def consulted(results: DataFrame, id_col: str, stop_on_match: bool = True) -> Da
     return results.withColumn("_over", F.coalesce(F.bool_or(ends).over(before), F.lit(False))).where("not _over").drop("_over")
 
 
-def outcomes(results: DataFrame, id_col: str) -> DataFrame:
-    """One row per entry: status, best source and score, completeness, the sources in order."""
+def outcomes(results: DataFrame, id_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per entry: status, best source and score, completeness, the sources in order, and
+    the columns ``carried`` of the best source."""
     s = F.col("source_status")
     any_ = lambda c: F.bool_or(c)
-    best = lambda k: F.min_by(F.struct("source", "score"), F.when(s == k, F.struct(-F.coalesce(F.col("score"), F.lit(0.0)), F.col("rank"))))
+    best = lambda k: F.min_by(F.struct("source", "score", *carried), F.when(s == k, F.struct(-F.coalesce(F.col("score"), F.lit(0.0)), F.col("rank"))))
     g = results.groupBy(id_col).agg(
         any_(s == "identifier_conflict").alias("c"), any_(s == "matched").alias("m"), any_(s == "ambiguous").alias("a"), any_(s.isin(UNAVAILABLE)).alias("u"), any_(s == "no_match").alias("n"),
         best("identifier_conflict").alias("bc"), best("matched").alias("bm"), best("ambiguous").alias("ba"),
@@ -106,7 +107,7 @@ def outcomes(results: DataFrame, id_col: str) -> DataFrame:
     status = F.when(F.col("c"), "identifier_conflict").when(F.col("m"), "verified").when(F.col("a"), "ambiguous").when(F.col("u"), "source_unavailable").when(F.col("n"), "not_found").otherwise("invalid_input")
     chosen = F.when(F.col("c"), F.col("bc")).when(F.col("m"), F.col("bm")).when(F.col("a"), F.col("ba"))
     complete = F.when(F.col("c") | F.col("m") | F.col("a"), ~F.col("u")).when(F.col("u"), False).otherwise(F.col("n"))
-    return g.select(id_col, status.alias("status"), chosen["source"].alias("source"), chosen["score"].alias("score"), complete.alias("complete"), "providers")
+    return g.select(id_col, status.alias("status"), chosen["source"].alias("source"), chosen["score"].alias("score"), complete.alias("complete"), "providers", *[chosen[c].alias(c) for c in carried])
 
 
 def first_match(results: DataFrame, id_col: str) -> DataFrame:

@@ -20,19 +20,43 @@ def _field(df: DataFrame, side: str, name: str) -> Column:
     return F.coalesce(F.col(f"{side}.{name}").cast("string"), F.lit("")) if name in fields else F.lit("")
 
 
+#: The parts of the forms that :func:`assess` compares.
+FORMS = ("t", "v", "p", "a", "year", "titled", "venued", "paged", "doi", "pmid", "pmcid", "arxiv")
+
+
 def with_forms(df: DataFrame, side: str, name: str, exact: bool = True) -> DataFrame:
     """``df`` with the struct ``name``: what :func:`assess` compares of the struct ``side``, in normal forms.
 
     Made once a record and kept beside it, it spares every pair the normalization of both sides.
     """
+    return forms(df, {n: _field(df, side, n) for n in FIELDS}, name, exact)
+
+
+def forms(df: DataFrame, get: dict[str, Column], name: str, exact: bool = True, known: dict[str, Column] | None = None, own: bool = False) -> DataFrame:
+    """As :func:`with_forms`, of the texts ``get`` (no nulls). Parts that are ``known`` (the title ``t``,
+    the identifiers) are taken as they are; ``own`` keeps the columns of :func:`ids.with_ids`."""
     norm = text.normalize if exact else text.normalize_native
-    get = {n: _field(df, side, n) for n in FIELDS}
+    known = known or {}
     venue = F.when(get["journal"] != "", get["journal"]).otherwise(get["booktitle"])
     made = {"t": norm(get["title"]), "v": norm(venue), "p": norm(get["pages"]), "a": sim.families(get["author"], norm), "year": text.year(get["year"]), "titled": get["title"] != "", "venued": venue != "", "paged": get["pages"] != ""}
-    step = ids.with_ids(df.withColumns({f"{name}_{k}": v for k, v in made.items()}), get, f"{name}_")
-    step = step.withColumns({f"{name}_{k}w": sim.tokens(F.col(f"{name}_{k}")) for k in "tv"})
-    parts = (*made, "tw", "vw", "doi", "pmid", "pmcid", "arxiv")
-    return step.withColumn(name, F.struct(*[F.col(f"{name}_{k}").alias(k) for k in parts])).drop(*[f"{name}_{k}" for k in parts])
+    step = df.withColumns({f"{name}_{k}": v for k, v in (made | known).items()})
+    if "doi" not in known:
+        step = ids.with_ids(step, get, f"{name}_", own)
+    return step.withColumn(name, F.struct(*[F.col(f"{name}_{k}").alias(k) for k in FORMS])).drop(*[f"{name}_{k}" for k in FORMS])
+
+
+def least_title(form: str, ambiguous: float = AMBIGUOUS) -> Column:
+    """The least similarity of titles with which a candidate is more than no match to an entry of the
+    forms ``form``, whatever else the candidate has; 0 where the entry has an identifier, as that
+    may be shared or differ.
+
+    All other signals that the entry has are taken to be known and to agree in full.
+    """
+    f = F.col(form)
+    others = {"authors": F.size(f["a"]) > 0, "year": f["year"].isNotNull(), "venue": f["venued"], "pages": f["paged"]}
+    rest = sum((F.when(v, WEIGHTS[n]).otherwise(0.0) for n, v in others.items()), F.lit(0.0))
+    none = (f["doi"] == "") & (f["pmid"] == "") & (f["pmcid"] == "") & (f["arxiv"] == "")
+    return F.when(none, (ambiguous * (WEIGHTS["title"] + rest) - rest) / WEIGHTS["title"] - 1e-9).otherwise(0.0)
 
 
 def assess(df: DataFrame, left: str = "original", right: str = "candidate", matched: float = MATCHED, ambiguous: float = AMBIGUOUS, exact: bool = True) -> DataFrame:
@@ -49,12 +73,12 @@ def assess(df: DataFrame, left: str = "original", right: str = "candidate", matc
     for s in (left, right):
         if f"_{s}" not in df.columns:
             step = with_forms(step, s, f"_{s}", exact)
-    l, r = ({k: F.col(f"_{s}")[k] for k in ("t", "v", "p", "a", "year", "titled", "venued", "paged", "tw", "vw", "doi", "pmid", "pmcid", "arxiv")} for s in (left, right))  # noqa: E741
+    l, r = ({k: F.col(f"_{s}")[k] for k in FORMS} for s in (left, right))  # noqa: E741
     step = step.withColumns({
-        "_title": sim.title(l["t"], r["t"], exact, (l["tw"], r["tw"])),
+        "_title": sim.title(l["t"], r["t"], exact),
         "_authors": sim.jaccard(l["a"], r["a"]),
         "_year": sim.years(l["year"], r["year"]),
-        "_venue": F.when(l["venued"] & r["venued"], sim.title(l["v"], r["v"], exact, (l["vw"], r["vw"]))),
+        "_venue": F.when(l["venued"] & r["venued"], sim.title(l["v"], r["v"], exact)),
         "_pages": F.when(l["paged"] & r["paged"], (l["p"] == r["p"]).cast("double")),
         "_ids": sim.identifiers(l, r),
     })

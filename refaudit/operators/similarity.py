@@ -53,12 +53,10 @@ def _best(a: Column, b: Column, parts: list[Column], ratio: bool) -> Column:
     return F.greatest(best, F.coalesce(_ratio(F.when(asked, a), F.when(asked, b)), F.lit(0.0)))
 
 
-def title(a: Column, b: Column, ratio: bool = True, sets: tuple[Column, Column] | None = None) -> Column:
+def title(a: Column, b: Column, ratio: bool = True) -> Column:
     """Similarity of two normalized titles: the best of sequence ratio, word overlap and
-    containment; 0 if either is empty, 1 if they are equal. ``sets`` are their :func:`tokens`, where
-    they are known already."""
-    words = sets or (tokens(a), tokens(b))
-    best = _best(a, b, [F.coalesce(jaccard(*words), F.lit(0.0)), containment(a, b)], ratio)
+    containment; 0 if either is empty, 1 if they are equal."""
+    best = _best(a, b, [F.coalesce(jaccard(tokens(a), tokens(b)), F.lit(0.0)), containment(a, b)], ratio)
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(best)
 
 
@@ -78,7 +76,7 @@ def families(authors: Column, norm=text.normalize) -> Column:
     one pass over a joined text.
     """
     parts = F.filter(F.split(F.coalesce(authors, F.lit("")), r"(?i)\s+and\s+|\s*;\s*"), lambda p: F.trim(p) != "")
-    family = F.transform(parts, lambda p: F.when(p.contains(","), F.split(p, ",")[0]).otherwise(F.regexp_extract(F.rtrim(p), r"(\S+)$", 1)))
+    family = F.transform(parts, lambda p: F.when(p.contains(","), F.split(p, ",")[0]).otherwise(F.regexp_extract(F.rtrim(p), r"(?<!\S)(\S++)$", 1)))
     joined = F.array_join(F.transform(family, lambda f: F.replace(f, F.lit("\u0001"), F.lit(" "))), "_\u0001_")
     # the separator survives normalization as an underscore pair with a blank between
     return F.array_distinct(F.filter(F.transform(F.split(norm(joined), "_ _"), lambda f: F.trim(f)), lambda f: f != ""))

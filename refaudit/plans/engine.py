@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from refaudit.functions import identifiers as ids
 from refaudit.functions import text
 from refaudit.operators import lookup, merge, ranking, report, scoring
-from refaudit.session import atomic_write, materialize
+from refaudit.session import atomic_write, materialize, release
 from refaudit.sources import adapters, bibtex, responses
 
 FIELDS = (
     "title", "author", "journal", "booktitle", "year", "volume", "number", "pages", "publisher", "doi", "pmid", "pmcid", "eprint", "url", "note",
     "howpublished", "archiveprefix", "primaryclass", "keywords",
 )
+CANDIDATE = "struct<" + ", ".join(f"`{f}`: string" for f in ("ENTRYTYPE", *FIELDS)) + ">"
 RESULT = ("key", "title", "bucket", "status", "complete", "confidence", "reason", "platform", "changes", "differences", "field_diffs", "n_applied", "n_meaningful", "providers")
 
 
@@ -84,13 +85,15 @@ class Engine:
         kinds = ("doi", "pmid", "pmcid", "arxiv")
         any_id = F.concat(*[F.col(f"_{k}") for k in kinds]) != ""
         ref = F.struct(*[F.col(c) for c in (*self.scope(entries), "pos")])
-        e = e.withColumns({"entry_ref": ref, "_t": self._norm("title"), "_titled": _known("title"), "_whole": F.struct(*[F.col(f) for f in FIELDS])})
-        e = scoring.with_forms(e, "_whole", "_original", self.settings.exact).drop("_whole")
+        e = e.withColumns({"entry_ref": ref, "_t": self._norm("title"), "_titled": _known("title")})
+        get = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in FIELDS}
+        e = scoring.forms(e, get, "_original", self.settings.exact, known={"t": F.col("_t")} | {k: F.col(f"_{k}") for k in kinds})
         return materialize(e.withColumn("_searchable", F.col("_titled") | any_id))
 
     def asked(self, named: DataFrame, source: str) -> DataFrame:
-        """(entry_ref, _t, _k, source_status, _titled): what a source is asked by, ``_k`` an identifier
-        or else the title ``_t``; a status where it cannot be asked at all."""
+        """(entry_ref, _t, _k, source_status, _titled, _least): what a source is asked by, ``_k`` an
+        identifier or else the title ``_t``; a status where it cannot be asked at all. Candidates whose
+        titles are less like the entry's than ``_least`` would be no match."""
         kinds, _, _ = adapters.ACCESS[source]
         key = lookup.first_id(kinds, {k: F.col(f"_{k}") for k in kinds}) if kinds else F.lit(None).cast("struct<kind: string, value: string>")
         if source == "biorxiv":
@@ -100,7 +103,9 @@ class Engine:
             status = F.when(key.isNull() & ~F.col("_titled"), "invalid_input")
         if source == "core" and not self.settings.keys.get("core"):
             status = F.coalesce(status, F.lit("auth_error"))
-        return named.select("entry_ref", "_t", key.alias("_k"), status.alias("source_status"), "_titled")
+        # the sequence ratio is not bounded by words; PubMed's records are only reached by way of those found
+        least = F.lit(0.0) if self.settings.exact or source == "pubmed" else scoring.least_title("_original", self.settings.ambiguous)
+        return named.select("entry_ref", "_t", key.alias("_k"), status.alias("source_status"), "_titled", least.alias("_least"))
 
     def prepare(self, records: DataFrame, source: str) -> DataFrame:
         """(rec_id, candidate, doi, pmid, pmcid, arxiv, _rt, _candidate): a source's records adapted,
@@ -111,23 +116,29 @@ class Engine:
         """
         adapted = adapters.records_of(records, source, ["rec_id"], native=not self.settings.exact)
         cols = set(adapted.columns)
-        get = lambda f: F.col(f) if f in cols else F.lit(None).cast("string")
-        body = adapted.select("rec_id", F.struct(*[get(f).alias(f) for f in ("ENTRYTYPE", *FIELDS)]).alias("candidate"))
-        parts = {"doi": ids.doi("candidate.doi"), "pmid": ids.pmid("candidate.pmid"), "pmcid": ids.pmcid("candidate.pmcid"), "arxiv": ids.arxiv("candidate.eprint")}
-        indexed = body.select("rec_id", "candidate", *[v.alias(k) for k, v in parts.items()], self._norm("candidate.title").alias("_rt"))
-        return scoring.with_forms(indexed, "candidate", "_candidate", self.settings.exact)
+        get = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f in cols else F.lit("") for f in FIELDS}
+        made = scoring.forms(adapted, get, "_candidate", self.settings.exact, own=True)
+        own = {"doi": "doi", "pmid": "pmid", "pmcid": "pmcid", "arxiv": "eprint"}
+        return made.select("rec_id", self._body(adapted).alias("candidate"), *[F.col(f"_candidate_{f}_").alias(k) for k, f in own.items()], F.col("_candidate.t").alias("_rt"), "_candidate")
+
+    @staticmethod
+    def _body(adapted: DataFrame) -> Column:
+        """The fields of adapted records as a struct; those that a source lacks are null."""
+        return F.struct(*[(F.col(f) if f in adapted.columns else F.lit(None).cast("string")).alias(f) for f in ("ENTRYTYPE", *FIELDS)])
 
     def candidates(self, asked: DataFrame, source: str, records: DataFrame) -> DataFrame:
-        """(entry_ref, source, cand_pos, candidate, _candidate): the records a source answers an entry with."""
+        """(entry_ref, source, cand_pos, _candidate): the records a source answers an entry with, without
+        those that would be no match for their titles."""
         kinds, falls_back, limit = adapters.ACCESS[source]
-        index = records if "candidate" in records.columns else materialize(self.prepare(records, source))
-        if "_candidate" not in index.columns:
+        stored = "candidate" in records.columns
+        index = records if stored else materialize(self.prepare(records, source).drop("candidate", "_rt"))
+        if stored and ("_candidate" not in index.columns or index.schema["_candidate"].dataType.fieldNames() != [*scoring.FORMS]):
             index = scoring.with_forms(index, "candidate", "_candidate", self.settings.exact)
-        body = index.select("rec_id", "candidate", "_candidate")
+        body = index.select("rec_id", "_candidate")
 
         def search(rest: DataFrame) -> DataFrame:
-            titled = rest.where("_titled").select("entry_ref", "_t")
-            return lookup.by_title(titled, index.select("rec_id", "_rt"), "entry_ref", "rec_id", F.col("_t"), F.col("_rt")).select("entry_ref", "rec_id")
+            titled = rest.where("_titled").select("entry_ref", "_t", "_least")
+            return lookup.by_title(titled, index.select("rec_id", F.col("_candidate.t").alias("_rt")), "entry_ref", "rec_id", F.col("_t"), F.col("_rt"), least=F.col("_least")).select("entry_ref", "rec_id")
 
         ready = asked.where("source_status is null")
         if not kinds:
@@ -145,44 +156,61 @@ class Engine:
                 own = ready.where("_k.kind = 'pmid'").select("entry_ref")
                 hop = lookup.two_hop(pairs.join(own, "entry_ref", "left_anti"), index, "entry_ref", "rec_id", F.col("pmid")).select("entry_ref", "rec_id")
                 pairs = pairs.join(own, "entry_ref", "left_semi").unionByName(hop).distinct()
-        return pairs.join(body, "rec_id").select("entry_ref", F.lit(source).alias("source"), F.col("rec_id").cast("bigint").alias("cand_pos"), "candidate", "_candidate")
+        found = materialize(pairs)
+        del pairs, search  # with the pairs written down, nothing holds the files of the lookup any more
+        release(self.spark)
+        return found.join(body, "rec_id").select("entry_ref", F.lit(source).alias("source"), F.col("rec_id").cast("bigint").alias("cand_pos"), "_candidate")
 
     def _answers(self, valid: DataFrame, tables: Mapping[str, DataFrame], recorded: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-        """(statuses (entry_ref, source, asked_status), candidates) of all sources."""
+        """(statuses (entry_ref, source, asked_status), what :meth:`_chosen` gives) of all sources; with
+        recorded answers the best candidates have their records as ``candidate``, those of tables null."""
 
         def answer(source: str) -> tuple[DataFrame, DataFrame]:
             asked = self.asked(valid, source)
             status = asked.where("source_status is not null").select("entry_ref", F.lit(source).alias("source"), F.col("source_status").alias("asked_status"))
-            return status, self.candidates(asked, source, tables[source])
-
-        # the sources are prepared side by side, as their jobs are short and none of them fills the cores
-        with ThreadPoolExecutor(max(1, len(tables))) as pool:
+            found = self.candidates(asked, source, tables[source])
+            if recorded is not None:  # which may be answers of the same source
+                return status, found
+            best = materialize(self._chosen(found, valid))
+            del found  # and with it the forms of the source's records
+            release(self.spark)
+            return status, best
+
+        # two sources are asked side by side, as not all of their jobs fill the cores; more would only
+        # have the files of more lookups lie about at once
+        with ThreadPoolExecutor(2) as pool:
             answers = list(pool.map(inheritable_thread_target(self.spark)(answer), tables))
         statuses, found = [a[0] for a in answers], [a[1] for a in answers]
         if recorded is not None:
+            found = [f.withColumn("candidate", F.lit(None).cast(CANDIDATE)) for f in found]
             scope = self.scope(recorded)
             read = responses.statuses(recorded.withColumn("entry_ref", F.struct(*[F.col(c) for c in (*scope, "pos")])))
             statuses.append(read.where("source_status is not null").select("entry_ref", "source", F.col("source_status").alias("asked_status")))
             for source in [s for s in adapters.ADAPTERS if s == "arxiv" or s in responses.PATHS]:
                 rows = responses.records(read.where((F.col("source") == source) & F.col("source_status").isNull()), source, ["entry_ref"], native=not self.settings.exact)
-                cols = set(rows.columns)
-                body = F.struct(*[(F.col(f) if f in cols else F.lit(None).cast("string")).alias(f) for f in ("ENTRYTYPE", *FIELDS)])
-                rows = rows.select("entry_ref", F.lit(source).alias("source"), F.col("cand_pos").cast("bigint").alias("cand_pos"), body.alias("candidate"))
+                rows = rows.select("entry_ref", F.lit(source).alias("source"), F.col("cand_pos").cast("bigint").alias("cand_pos"), self._body(rows).cast(CANDIDATE).alias("candidate"))
                 found.append(scoring.with_forms(rows, "candidate", "_candidate", self.settings.exact))
         union = lambda ds: None if not ds else ds[0] if len(ds) == 1 else union([ds[0].unionByName(ds[1]), *ds[2:]])
-        return union(statuses), union(found)
+        if recorded is None:
+            return union(statuses), union(found)
+        return union(statuses), found and self._chosen(union(found), valid, ("candidate",))
+
+    def _chosen(self, found: DataFrame, valid: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+        """(entry_ref, source, source_status, score, cand_pos, the columns ``own``) of the best candidates."""
+        s = self.settings
+        scored = scoring.assess(found.join(valid.select("entry_ref", "_original"), "entry_ref"), matched=s.matched, ambiguous=s.ambiguous, exact=s.exact)
+        return ranking.select(scored.select("entry_ref", "source", "cand_pos", "status", "score", *own), ["entry_ref", "source"], s.margin)
 
     def _results(self, valid: DataFrame, tables: Mapping[str, DataFrame], recorded: DataFrame | None) -> DataFrame:
-        """(entry_ref, source, rank, source_status, score, cand_pos, candidate) of every source in order."""
+        """(entry_ref, source, rank, source_status, score, cand_pos) of every source in order; with
+        recorded answers also their ``candidate``."""
         s = self.settings
         ranked = ranking.rank_sources(valid, {f: F.col(f) for f in FIELDS}, "entry_ref", ranking.sources(self.spark, s.sources))
-        statuses, found = self._answers(valid, tables, recorded)
+        statuses, chosen = self._answers(valid, tables, recorded)
         answering = list(tables) if recorded is None else None
-        if statuses is None or found is None:
-            none = F.lit(None).cast("string")
-            return ranked.select("*", F.lit("skipped").alias("source_status"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("bigint").alias("cand_pos"), F.struct(*[none.alias(f) for f in ("ENTRYTYPE", *FIELDS)]).alias("candidate"))
-        scored = scoring.assess(found.join(valid.select("entry_ref", "_original"), "entry_ref"), matched=s.matched, ambiguous=s.ambiguous, exact=s.exact)
-        chosen = ranking.select(scored.select("entry_ref", "source", "cand_pos", "status", "score", "candidate"), ["entry_ref", "source"], s.margin)
+        if statuses is None or not chosen:
+            return ranked.select("*", F.lit("skipped").alias("source_status"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("bigint").alias("cand_pos"))
+        own = () if recorded is None else ("candidate",)
         both = ranked.join(chosen, ["entry_ref", "source"], "left").join(statuses, ["entry_ref", "source"], "left")
         if answering is not None:
             silent = F.when(F.col("source").isin(*answering), "no_match").otherwise("skipped")
@@ -190,7 +218,29 @@ class Engine:
             heard = recorded.select(F.struct(*[F.col(c) for c in (*self.scope(recorded), "pos")]).alias("entry_ref"), "source", F.lit(True).alias("_heard"))
             both = both.join(heard, ["entry_ref", "source"], "left")
             silent = F.when(F.col("_heard") | F.col("source").isin(*tables), "no_match").otherwise("skipped")
-        return both.select("entry_ref", "source", "rank", F.coalesce("asked_status", "source_status", silent).alias("source_status"), "score", "cand_pos", "candidate")
+        return both.select("entry_ref", "source", "rank", F.coalesce("asked_status", "source_status", silent).alias("source_status"), "score", "cand_pos", *own)
+
+    def _with_candidates(self, rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """``rows`` (entry_ref, source, cand_pos and others) with the records that they name as
+        ``candidate``, adapted only now; a candidate that ``rows`` have already (a recorded one) is kept."""
+        named = rows.where("cand_pos is not null" + (" and candidate is null" if "candidate" in rows.columns else "")).select(F.col("entry_ref").alias("_ref"), F.col("source").alias("_source"), F.col("cand_pos").alias("_cand"))
+        parts = []
+        for source, records in tables.items():
+            at = F.col("rec_id").cast("bigint") == F.col("_cand")
+            met = records.join(named.where(F.col("_source") == source), at)
+            if "candidate" in records.columns:
+                body = met.select("_ref", "_source", F.col("candidate").cast(CANDIDATE).alias("_body"))
+            else:
+                adapted = adapters.records_of(met, source, ["_ref", "_source"], native=not self.settings.exact)
+                body = adapted.select("_ref", "_source", self._body(adapted).cast(CANDIDATE).alias("_body"))
+            parts.append(body)
+        own = F.col("candidate") if "candidate" in rows.columns else F.lit(None).cast(CANDIDATE)
+        if not parts:
+            return rows.withColumn("candidate", own)
+        while len(parts) > 1:
+            parts = [parts[0].unionByName(parts[1]), *parts[2:]]
+        bodies = parts[0].select(F.col("_ref").alias("entry_ref"), F.col("_source").alias("source"), "_body")
+        return rows.join(bodies, ["entry_ref", "source"], "left").withColumn("candidate", F.coalesce(own, F.col("_body"))).drop("_body")
 
     def verify(self, entries: DataFrame, tables: Mapping[str, DataFrame], recorded: DataFrame | None = None) -> DataFrame:
         """One row per entry: bucket, status, confidence, reason, source, decisions on the fields.
@@ -205,15 +255,18 @@ class Engine:
         scope = self.scope(entries)
         named = self.named(entries)
         searchable = report.valid_keys(named, "key", scope).where("_searchable")
-        results = materialize(self._results(searchable, tables, recorded))
+        results = self._results(searchable, tables, recorded)
         walked = ranking.consulted(results, "entry_ref", s.stop_on_match)
-        out = ranking.outcomes(walked, "entry_ref").join(results.select("entry_ref", "source", "candidate"), ["entry_ref", "source"], "left")
-        verified = out.where("status = 'verified'").join(searchable.select("entry_ref", "entrytype", *FIELDS), "entry_ref")
+        carried = tuple(c for c in ("cand_pos", "candidate") if c in results.columns)
+        out = materialize(ranking.outcomes(walked, "entry_ref", carried))
+        del results, walked
+        release(self.spark)
+        verified = self._with_candidates(out.where("status = 'verified'"), tables).join(searchable.select("entry_ref", "entrytype", *FIELDS), "entry_ref")
         norm = text.normalize if s.exact else text.normalize_native
         long = merge.decisions(
             verified, ["entry_ref"], {f: F.col(f) for f in FIELDS} | {"ENTRYTYPE": F.col("entrytype")}, {f: F.col(f"candidate.{f}") for f in ("ENTRYTYPE", *FIELDS)}, F.col("score"), s.auto_update, norm
         )
-        joined = named.select("entry_ref", "key", "title", "_searchable", *[F.col(c) for c in (*scope, "pos")]).join(out.drop("candidate"), "entry_ref", "left").join(merge.merged(long, ["entry_ref"]), "entry_ref", "left")
+        joined = named.select("entry_ref", "key", "title", "_searchable", *[F.col(c) for c in (*scope, "pos")]).join(out.drop(*carried), "entry_ref", "left").join(merge.merged(long, ["entry_ref"]), "entry_ref", "left")
         duplicate = report.duplicate_keys(named, "key", scope).select(*scope, "key", F.lit(True).alias("_twice"))
         joined = joined.join(duplicate, [*scope, "key"], "left")
         unkeyed = F.trim(F.coalesce("key", F.lit(""))) == ""
@@ -242,7 +295,7 @@ class Engine:
         by_doi = {k: v for k, v in tables.items() if k == "crossref"}
         rest = {k: v for k, v in tables.items() if k != "crossref"}
         titled = e.withColumns({"doi": F.lit(""), "_doi": F.lit(""), "_original": F.col("_original").withField("doi", F.lit("")).withField("arxiv", F.lit(""))})
-        parts = [self._results(x, t, None).where(F.col("source").isin(*t)) for x, t in ((e, by_doi), (titled, rest)) if t]
+        parts = [self._with_candidates(self._results(x, t, None).where(F.col("source").isin(*t)), t) for x, t in ((e, by_doi), (titled, rest)) if t]
         results = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         order = ranking.rank_sources(entries.withColumn("entry_ref", F.struct(*[F.col(c) for c in (*scope, "pos")])), {f: F.col(f) for f in FIELDS}, "entry_ref", ranking.sources(self.spark, self.settings.sources))
         return ranking.first_match(results.drop("rank").join(order, ["entry_ref", "source"]), "entry_ref").select("entry_ref.*", "source", "candidate")

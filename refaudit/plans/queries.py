@@ -677,7 +677,7 @@ def _verified(spark: SparkSession, d: str) -> tuple[Engine, DataFrame, DataFrame
     own = {f: F.coalesce(F.col(f"original.{f}"), F.lit("")) for f in ("title", "author", "year", "doi")}
     c = read(spark, d, "cases").where("original is not null")
     entries = c.select(F.col("case_id").alias("pos"), F.col("citekey").alias("key"), F.lit("article").alias("entrytype"), *[own.get(f, F.lit("")).alias(f) for f in FIELDS], F.create_map().cast("map<string,string>").alias("extra"))
-    return engine, entries, materialize(engine.verify(entries, {s: read(spark, d, t) for s, t in _TABLES.items()}))
+    return engine, entries, engine.verify(entries, {s: read(spark, d, t) for s, t in _TABLES.items()})
 
 
 @query(sql.E_VERIFY)

@@ -267,6 +267,17 @@ def test_prepared_sources_and_explain_and_first_match(spark, tmp_path):
     assert {r["field"] for r in engine.explain(a, b, ["pos"]).collect()} == {"note", "year"}
 
 
+def test_candidates_that_cannot_match_are_left_out(spark, monkeypatch):
+    engine = Engine(spark, Settings(exact=False))
+    e = asked(spark, title="Reliable Verification of Numbers", doi="")
+    few = spark.createDataFrame([(i, "journal-article", [t], None, None, None, None, "1", None, "1-9", None, "10.1/x") for i, t in enumerate(["Numbers for everyone elsewhere and their friends", "Reliable verification of numbers"])], CROSSREF)
+    found = lambda x: sorted(r["cand_pos"] for r in engine.candidates(engine.asked(engine.named(x), "crossref"), "crossref", few).collect())
+    assert found(e) == [1] and found(asked(spark, title="Reliable Verification of Numbers", doi="10.1/y")) == [0, 1]  # a DOI may differ
+    got = engine.verify(e, {"crossref": few}).collect()
+    monkeypatch.setattr(scoring, "least_title", lambda *_: F.lit(0.0))
+    assert found(e) == [0, 1] and engine.verify(e, {"crossref": few}).collect() == got
+
+
 def test_a_source_can_be_registered(spark):
     from refaudit.sources import adapters
 

@@ -133,6 +133,24 @@ def test_title_lookup_is_exact_whatever_the_words(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [250_000, 60])
+def test_title_lookup_leaves_out_what_cannot_match(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(lookup, "BLOCK", block)
+    rng = random.Random(7)
+    title = lambda: " ".join(rng.choice([f"w{i}" for i in range(30)]) for _ in range(rng.randint(3, 9)))
+    entries, records = [(i, title(), rng.choice([0.0, 0.5, 0.8])) for i in range(60)], [(i, title()) for i in range(300)]
+    got = lookup.by_title(spark.createDataFrame(entries, "id int, t string, n double"), spark.createDataFrame(records, "rid int, rt string"), "id", "rid", F.col("t"), F.col("rt"), least=F.col("n"))
+    want, left_out = [], 0
+    for i, t, n in entries:
+        a = set(t.split())
+        near = sorted((-len(a & b) / len(a | b), r, len(a & b), len(b)) for r, x in records if a & (b := set(x.split())))[:5]
+        kept = [(i, r, s, k) for k, (share, r, s, m) in enumerate(near, 1) if -share >= n or s >= min(len(a), m) - 2]
+        want, left_out = want + kept, left_out + len(near) - len(kept)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and left_out
+
+
 def test_titles_are_counted_exactly_in_any_division(spark, monkeypatch):
     import random
 
