@@ -56,7 +56,7 @@ def by_title(entries: DataFrame, records: DataFrame, entry_id: str, record_id: s
     With ``least``, a number of the entry, those of the ``limit`` records are left out whose titles have
     a lesser share of common words and can hold, or be part of, the entry's at no place either.
     """
-    words = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))), " ")
+    words = lambda c: F.array_join(F.sort_array(F.array_distinct(F.array_remove(F.split(c, " "), ""))), " ")
     of_entry = entries.select(F.col(entry_id), words(left).alias("_w"), (F.lit(0.0) if least is None else least).cast("double").alias("_least")).where("_w <> ''")
     e = materialize(of_entry.groupBy("_w").agg(F.min(entry_id).alias("_e"), F.min("_least").alias("_least")))
     first = Window.partitionBy("_rw").orderBy(record_id)

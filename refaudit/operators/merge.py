@@ -52,10 +52,10 @@ def merged(long: DataFrame, keys: list[str]) -> DataFrame:
     a = applied(F.col("action"))
     change = F.struct("original", "suggested", "action")
     every = F.struct("field", "original", "suggested", "normalized_equal", "action")
-    each = F.array_sort(F.collect_list(F.when(a, F.struct("field", change.alias("change")))))
+    each = F.sort_array(F.collect_list(F.when(a, F.struct("field", change.alias("change")))))
     return long.groupBy(*keys).agg(
         F.map_from_entries(F.transform(each, lambda e: F.struct(e["field"], e["change"]["suggested"]))).alias("changes"), F.map_from_entries(each).alias("differences"),
-        F.array_sort(F.collect_list(every)).alias("field_diffs"), F.count_if(a).alias("n_applied"), F.count_if(meaningful(F.col("action"), F.col("normalized_equal"))).alias("n_meaningful"),
+        F.sort_array(F.collect_list(every)).alias("field_diffs"), F.count_if(a).alias("n_applied"), F.count_if(meaningful(F.col("action"), F.col("normalized_equal"))).alias("n_meaningful"),
     )
 
 

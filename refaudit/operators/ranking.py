@@ -102,7 +102,7 @@ def outcomes(results: DataFrame, id_col: str, carried: tuple[str, ...] = ()) ->
     g = results.groupBy(id_col).agg(
         any_(s == "identifier_conflict").alias("c"), any_(s == "matched").alias("m"), any_(s == "ambiguous").alias("a"), any_(s.isin(UNAVAILABLE)).alias("u"), any_(s == "no_match").alias("n"),
         best("identifier_conflict").alias("bc"), best("matched").alias("bm"), best("ambiguous").alias("ba"),
-        F.array_sort(F.collect_list(F.struct("rank", "source", F.col("source_status").alias("status")))).alias("providers"),
+        F.sort_array(F.collect_list(F.struct("rank", "source", F.col("source_status").alias("status")))).alias("providers"),
     )
     status = F.when(F.col("c"), "identifier_conflict").when(F.col("m"), "verified").when(F.col("a"), "ambiguous").when(F.col("u"), "source_unavailable").when(F.col("n"), "not_found").otherwise("invalid_input")
     chosen = F.when(F.col("c"), F.col("bc")).when(F.col("m"), F.col("bm")).when(F.col("a"), F.col("ba"))

@@ -74,9 +74,13 @@ def assess(df: DataFrame, left: str = "original", right: str = "candidate", matc
         if f"_{s}" not in df.columns:
             step = with_forms(step, s, f"_{s}", exact)
     l, r = ({k: F.col(f"_{s}")[k] for k in FORMS} for s in (left, right))  # noqa: E741
+    # in steps, as a word list or an intersection within a condition is made again wherever it is used
+    unlike = l["t"] != r["t"]
+    step = step.withColumns({"_words_l": F.when(unlike, sim.tokens(l["t"])), "_words_r": F.when(unlike, sim.tokens(r["t"]))})
+    step = step.withColumns({"_both_w": F.size(F.array_intersect("_words_l", "_words_r")), "_both_a": F.size(F.array_intersect(l["a"], r["a"]))})
     step = step.withColumns({
-        "_title": sim.title(l["t"], r["t"], exact),
-        "_authors": sim.jaccard(l["a"], r["a"]),
+        "_title": sim.title(l["t"], r["t"], exact, sim.jaccard(F.col("_words_l"), F.col("_words_r"), F.col("_both_w"))),
+        "_authors": sim.jaccard(l["a"], r["a"], F.col("_both_a")),
         "_year": sim.years(l["year"], r["year"]),
         "_venue": F.when(l["venued"] & r["venued"], sim.title(l["v"], r["v"], exact)),
         "_pages": F.when(l["paged"] & r["paged"], (l["p"] == r["p"]).cast("double")),

@@ -24,12 +24,13 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def tokens(normal: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normal, " "), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(normal, " "), ""))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared part of two sets; null if either is empty."""
-    both = F.size(F.array_intersect(a, b))
+def jaccard(a: Column, b: Column, both: Column | None = None) -> Column:
+    """Shared part of two sets; null if either is empty. ``both`` is the size of their intersection,
+    where that is known."""
+    both = F.size(F.array_intersect(a, b)) if both is None else both
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both))
 
 
@@ -53,10 +54,12 @@ def _best(a: Column, b: Column, parts: list[Column], ratio: bool) -> Column:
     return F.greatest(best, F.coalesce(_ratio(F.when(asked, a), F.when(asked, b)), F.lit(0.0)))
 
 
-def title(a: Column, b: Column, ratio: bool = True) -> Column:
+def title(a: Column, b: Column, ratio: bool = True, overlap: Column | None = None) -> Column:
     """Similarity of two normalized titles: the best of sequence ratio, word overlap and
-    containment; 0 if either is empty, 1 if they are equal."""
-    best = _best(a, b, [F.coalesce(jaccard(tokens(a), tokens(b)), F.lit(0.0)), containment(a, b)], ratio)
+    containment; 0 if either is empty, 1 if they are equal. ``overlap`` is the word overlap of titles
+    that differ, where that is known."""
+    overlap = jaccard(tokens(a), tokens(b)) if overlap is None else overlap
+    best = _best(a, b, [F.coalesce(overlap, F.lit(0.0)), containment(a, b)], ratio)
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(best)
 
 
@@ -76,10 +79,10 @@ def families(authors: Column, norm=text.normalize) -> Column:
     one pass over a joined text.
     """
     parts = F.filter(F.split(F.coalesce(authors, F.lit("")), r"(?i)\s+and\s+|\s*;\s*"), lambda p: F.trim(p) != "")
-    family = F.transform(parts, lambda p: F.when(p.contains(","), F.split(p, ",")[0]).otherwise(F.regexp_extract(F.rtrim(p), r"(?<!\S)(\S++)$", 1)))
+    family = F.transform(parts, lambda p: F.when(p.contains(","), F.substring_index(p, ",", 1)).otherwise(F.regexp_extract(F.rtrim(p), r"(?<!\S)(\S++)$", 1)))
     joined = F.array_join(F.transform(family, lambda f: F.replace(f, F.lit("\u0001"), F.lit(" "))), "_\u0001_")
     # the separator survives normalization as an underscore pair with a blank between
-    return F.array_distinct(F.filter(F.transform(F.split(norm(joined), "_ _"), lambda f: F.trim(f)), lambda f: f != ""))
+    return F.array_distinct(F.array_remove(F.transform(F.split(norm(joined), "_ _"), lambda f: F.trim(f)), ""))
 
 
 def year(a: Column, b: Column) -> Column:

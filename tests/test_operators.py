@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -247,3 +248,16 @@ def test_pairs_are_scored_on_forms_made_before_they_meet(spark, exact):
     scored = scoring.assess(made[0].join(made[1], "id"), exact=exact)
     assert {r["id"]: r for r in scored.select("id", "score", "status", "signals").collect()} == want and scored.columns == ["id", "score", "status", "signals", "reason"]
     assert "regexp" not in scored._jdf.queryExecution().optimizedPlan().toString()  # a pair normalizes nothing
+
+
+def test_the_words_of_a_pair_are_made_and_met_once(spark):
+    side = lambda t: (t, "Ada Lovelace and Bo Ek")
+    pairs = spark.createDataFrame([(side("Deep learning for bees"), side("Learning for bees: deep or not"))], "original struct<title: string, author: string>, candidate struct<title: string, author: string>")
+    for s in ("original", "candidate"):
+        pairs = scoring.with_forms(pairs, s, f"_{s}", exact=False)
+    pairs = pairs.select("_original", "_candidate").localCheckpoint()
+    scored = scoring.assess(pairs, exact=False).select("status", "score")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"split\(_(?:original|candidate)#\d+\.t,", plan)) == 2
+    assert len(re.findall(r"array_intersect\(_original#\d+\.a,", plan)) == 1
+    assert scored.first()["score"] == pytest.approx((0.55 * 4 / 6 + 0.2) / 0.75)
